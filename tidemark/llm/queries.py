@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lookalikes
+from tidemark.llm import lookalikes, nearsim
 from tidemark.session import read_table
 
 
@@ -20,5 +20,16 @@ def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     return clean.select(F.col("id").alias("candidate_id"), "field", "clean")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nearsim.group_pairs(nearsim.groups(read_table(spark, sf, "candidates"), "candidate_id", "title", "summary", "url"))
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every grouped row with the least id of its group and the group's size."""
+    m = nearsim.groups(read_table(spark, sf, "candidates"), "candidate_id", "title", "summary", "url")
+    size = m.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return m.join(size, "root").select(F.col("id").alias("candidate_id"), F.col("root").alias("group_id"), "n")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}
