@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lookalikes, nearsim
+from tidemark.llm import incremental, lookalikes, nearsim
 from tidemark.session import read_table
 
 
@@ -20,6 +20,10 @@ def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     return clean.select(F.col("id").alias("candidate_id"), "field", "clean")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.batch_repeats(read_table(spark, sf, "candidates"), read_table(spark, sf, "incoming_candidates"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearsim.group_pairs(nearsim.groups(read_table(spark, sf, "candidates"), "candidate_id", "title", "summary", "url"))
 
@@ -31,5 +35,5 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(size, "root").select(F.col("id").alias("candidate_id"), F.col("root").alias("group_id"), "n")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}
