@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import sketch as S
 from tidemark.llm.pages import page_key_column
-from tidemark.llm.text import NOT_WORD, SUSPECT, fold, repair
+from tidemark.llm.text import NOT_WORD, fold, repair, suspect
 from tidemark.operators.components import components
 from tidemark.session import drop_stored, small_side, stored
 
@@ -50,7 +50,7 @@ def _cased(s: pd.Series) -> pd.Series:
 
 def headline(title: Column) -> Column:
     """The headline itself: characters made consistent, labels and publisher cut off, codes written together; case kept."""
-    c = F.coalesce(_cased(F.when(title.rlike(SUSPECT), title)), title)
+    c = F.coalesce(_cased(F.when(suspect(title), title)), title)
     c = F.regexp_replace(c, "(?i)" + LABELS, "")
     c = F.regexp_replace(c, PUBLISHER, "")
     return F.trim(F.regexp_replace(c, r"(?<=\b[A-Za-z]{1,6})[-‐](?=\d)", ""))

@@ -54,7 +54,7 @@ def repaired(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     repeated equal rows comes out once; an empty table gives an empty result.
     """
     v = values(rows, key, fields)
-    seen = v.filter(F.col("value").rlike(X.SUSPECT)).dropDuplicates(["id", "field"])
+    seen = v.filter(X.suspect(F.col("value"))).dropDuplicates(["id", "field"])
     schema = f"id {dict(rows.dtypes)[key]}, field string, folded string, kinds array<string>, forms array<string>, certain boolean"
     seen = stored(seen.mapInPandas(_inspect, schema), "inspected")
     forms = stored(seen.select(F.explode("forms").alias("word")).distinct(), "forms")
@@ -77,5 +77,5 @@ def consistent(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, clean): every value of every row in its one form; values without such characters only have their spaces squeezed."""
     v = values(rows, key, fields).dropDuplicates(["id", "field"])
     fixed = repaired(rows, key, fields).select("id", "field", F.col("clean").alias("_clean"))
-    plain = F.trim(F.regexp_replace("value", " {2,}", " "))
+    plain = F.trim(F.regexp_replace("value", r"\s+", " "))
     return v.join(fixed, ["id", "field"], "left").select("id", "field", F.coalesce("_clean", plain).alias("clean"))

@@ -29,12 +29,18 @@ _HYPHENS = {0x2010: "-", 0x2011: "-", 0x2043: "-", 0xFE63: "-", 0xFF0D: "-"}
 _CJK = re.compile(r"[、-ヿ㐀-鿿！-｠]")
 _FULL_PUNCT = set("！＂＃＄％＆＇（）＊＋，－．／：；＜＝＞？＠［＼］＾＿｀｛｜｝～｡｢｣､･￥")
 
-#: Java pattern that every value needing any work matches; all others are left alone in the JVM.
-SUSPECT = (
-    r"[^\x{20}-\x{7e}\x{c0}-\x{17f}\x{218}-\x{21b}\x{370}-\x{377}\x{37b}-\x{52f}\x{2013}\x{2014}\x{2018}-\x{201e}"
-    r"\x{3001}-\x{3003}\x{3005}-\x{3011}\x{3041}-\x{3096}\x{309d}\x{309e}\x{30a1}-\x{30fe}\x{4e00}-\x{9fff}]"
-    r"|[A-Za-z\x{c0}-\x{24f}][" + "".join(LOOKALIKE) + r"]|[" + "".join(LOOKALIKE) + r"][A-Za-z\x{c0}-\x{24f}]"
+#: Java patterns of which every value that needs work matches one: an unusual character, or a letter of another script beside a Latin one.
+ODD = (
+    r"[^\x{20}-\x{7e}\x{c0}-\x{17f}\x{370}-\x{52f}\x{2013}\x{2014}\x{2018}-\x{201e}"
+    r"\x{3001}-\x{3011}\x{3041}-\x{3096}\x{309d}-\x{30fe}\x{4e00}-\x{9fff}]"
 )
+BESIDE = r"[A-Za-z][\x{391}-\x{3b1}\x{3b5}-\x{51d}]|[\x{391}-\x{3b1}\x{3b5}-\x{51d}][A-Za-z]"
+
+
+def suspect(c: Column) -> Column:
+    """Whether a value may need work; plain ASCII is settled by its length in bytes, without a pattern. False for null."""
+    work = (F.octet_length(c) > F.char_length(c)) & (c.rlike(ODD) | c.rlike(BESIDE))
+    return F.coalesce(work, F.lit(False))
 
 
 def fold(text: str) -> tuple[str, set[str]]:
@@ -121,7 +127,7 @@ def repair(text: str, known: set[str]) -> str:
     return _LETTERS.sub(lambda m: forms.get(m.group(), m.group()), text) if forms else text
 
 
-_SPACES = re.compile(r" {2,}")
+_SPACES = re.compile(r"\s+")
 
 
 def squeeze(text: str) -> str:
@@ -140,7 +146,7 @@ def _comparable(s: pd.Series) -> pd.Series:
 
 def comparable_column(c: Column) -> Column:
     """comparable() for a column; Python sees only the values that need it. Null stays null."""
-    return F.coalesce(_comparable(F.when(c.rlike(SUSPECT), c)), F.lower(c))
+    return F.coalesce(_comparable(F.when(suspect(c), c)), F.lower(c))
 
 
 #: Java pattern of the separators between words (words: runs of letters and digits).
