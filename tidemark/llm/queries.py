@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import incremental, lookalikes, nearsim
+from tidemark.llm import bpe, incremental, lookalikes, nearsim
 from tidemark.session import read_table
 
 
@@ -35,5 +35,9 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(size, "root").select(F.col("id").alias("candidate_id"), F.col("root").alias("group_id"), "n")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encoded(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}
