@@ -21,6 +21,7 @@ def build_session(name: str = "tidemark", cores: str = "*", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
     }
