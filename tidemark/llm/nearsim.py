@@ -402,18 +402,20 @@ def star(rows: DataFrame, key: list[str]) -> DataFrame:
 def text_ties(rows: DataFrame, key: str, title: str, summary: str, t: float = 0.75, widest: int = 8192, salt_most: int = 64, scan: DataFrame | None = None) -> DataFrame:
     """(a, b): enough ties by text to connect all rows whose word multisets overlap by t or more; exact, each tie verified."""
     spark = rows.sparkSession
-    base = with_tokens(rows, key, title, summary)
+    raw = rows.select(F.col(key).cast("long").alias("id"), F.col(title).alias("title"), F.col(summary).alias("summary"))
     if scan is None:
         scan = scanned(rows, key, None, title, summary)
     table = S.table(scan.filter("range is not null").select("range", "slots", "counts"))
     sketch = spark.sparkContext.broadcast(table)
     copies = stored(star(scan.filter("c1 is not null").select("id", "c1", "c2"), ["c1", "c2"]).distinct(), "copies")
-    only = base.join(small_side(copies.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
-    keys = only.mapInArrow(_keys(sketch, t, widest, salt_most), KEY_SCHEMA)
+    only = raw.join(small_side(copies.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
+    keys = with_tokens(only, "id", "title", "summary").mapInArrow(_keys(sketch, t, widest, salt_most), KEY_SCHEMA)
     blocks = keys.repartition("key", "salt").sortWithinPartitions("key", "salt")
     pairs = stored(blocks.mapInArrow(_pairs(t), "a long, b long").distinct(), "pairs")
     need = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
-    texts = base.join(small_side(need), "id", "left_semi").mapInArrow(_token_rows, "id long, t array<bigint>").dropDuplicates(["id"])
+    # joined before the words are taken, so that only the rows needed are read as words again
+    some = raw.join(small_side(need), "id", "left_semi")
+    texts = with_tokens(some, "id", "title", "summary").mapInArrow(_token_rows, "id long, t array<bigint>").dropDuplicates(["id"])
     texts = stored(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b"
