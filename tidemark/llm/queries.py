@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, incremental, lookalikes, nearsim
+from tidemark.llm import bpe, incremental, leaks, lookalikes, nearsim
 from tidemark.session import read_table
 
 
@@ -39,5 +39,20 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encoded(read_table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf, "documents"), "doc_id", "text", read_table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each leaked item: the documents that hold it, the longest run, and whether one holds it whole."""
+    return _leaks(spark, sf).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max("run").alias("longest_run"), F.max(F.col("run") == F.col("item_words")).alias("whole")
+    )
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}
