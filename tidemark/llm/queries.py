@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, incremental, leaks, lookalikes, nearsim
+from tidemark.llm import bpe, incremental, leaks, lookalikes, nearsim, truncation
 from tidemark.session import read_table
 
 
@@ -54,5 +54,21 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, sf, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _truncated(spark, sf).filter("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source: its documents, those cut, those at a field limit, and the rate of cut ones."""
+    return _truncated(spark, sf).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("n_cut"), F.count_if("at_limit").alias("n_at_limit"),
+        F.round(F.count_if("cut") / F.count(F.lit(1)), 6).alias("cut_rate"),
+    )
+
+
+QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}
