@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, incremental, leaks, lookalikes, nearsim, truncation
+from tidemark.llm import bpe, incremental, leaks, lookalikes, nearsim, resolve, truncation
 from tidemark.session import read_table
 
 
@@ -70,5 +70,19 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.resolve(read_table(spark, sf, "companies"), read_table(spark, sf, "company_relationships"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.found_pairs(_members(spark, sf)).distinct()
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Each record with the organisation it names and how many records name that."""
+    m = _members(spark, sf)
+    return m.join(m.groupBy("entity").agg(F.count(F.lit(1)).alias("n_records")), "entity")
+
+
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p9_found": p9_found, "p9_rates": p9_rates, "p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}
