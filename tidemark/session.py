@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of in-memory columns up to which a side may be broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Bytes, as the planner knows them, up to which a side may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def build_session(name: str = "tidemark", cores: str = "*", **conf: str) -> SparkSession:
