@@ -34,7 +34,7 @@ from tidemark.session import drop_stored, small_side, stored
 
 BLOCKS = 10
 DIGEST_BITS = 6
-RADIUS = 30
+RADIUS = 24
 LOWER = np.uint64(0x5851F42D4C957F2D)
 
 # Labels set before a headline.
@@ -269,15 +269,17 @@ class Index:
 
     @classmethod
     def build(cls, rows: DataFrame, key: str, title: str, url: str) -> Index:
-        prep = prepared(rows, key, title, url)
+        prep = stored(prepared(rows, key, title, url), "heads")
         partials = stored(prep.select("w", "low").mapInArrow(S.slot_counter(_slot_tokens), S.PARTIAL_SCHEMA), "partials")
         out = cls(rows.sparkSession, S.table(partials))
         drop_stored(partials)
-        out.append(rows, key, title, url)
+        out._add(prep.drop("low"))
         return out
 
     def append(self, rows: DataFrame, key: str, title: str, url: str) -> None:
-        prep = stored(prepared(rows, key, title, url).select("id", "head", "w", "page"), "heads")
+        self._add(stored(prepared(rows, key, title, url).drop("low"), "heads"))
+
+    def _add(self, prep: DataFrame) -> None:
         blocks = stored(prep.select("id", "w").mapInArrow(_blocks(self.sketch), "key long, id long, fp long"), "blocks")
         self.parts.append((prep, blocks))
 
@@ -298,6 +300,9 @@ class Index:
         ta = texts.select(F.col("id").alias("a"), F.col("head").alias("ha"), F.col("w").alias("wa"))
         tb = texts.select(F.col("id").alias("b"), F.col("head").alias("hb"), F.col("w").alias("wb"))
         both = pairs.join(ta, "a").join(tb, "b").filter("ha is not null and hb is not null")
+        # half of the shorter headline must be in the other for the text check to succeed; very short ones go on to it anyway
+        shorter = F.least(F.size("wa"), F.size("wb"))
+        both = both.filter((shorter <= 4) | (2 * F.size(F.array_intersect("wa", "wb")) >= F.least(F.size(F.array_distinct("wa")), F.size(F.array_distinct("wb")))))
         by_title = both.mapInPandas(_verifier(self.sketch), "a long, b long")
         pages = self.heads().select("id", "page").filter("page is not null")
         qp = stored(pages.join(mine, "id", "left_semi").select("page", F.col("id").alias("q")).distinct(), "lookups")
