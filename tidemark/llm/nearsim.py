@@ -42,7 +42,7 @@ SLICED = 4096
 def tokens(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes, row numbers): hashes of a row's words, the k-th occurrence of a word being a token of its own."""
     row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    order = np.lexsort((values, row))
+    order = S.grouped_order(row, values)
     h, r = values[order], row[order]
     if not len(h):
         return h, r
@@ -121,7 +121,7 @@ def _keys(sketch, t: float, widest: int, salt_most: int):
                 continue
             par = parity(h, r, len(n))
             q = table[S.slots(h)]
-            order = np.lexsort((h, q, r))
+            order = S.grouped_order(r, h, q)
             h, r, q = h[order], r[order], q[order]
             first = np.zeros(len(n), np.int64)
             first[1:] = np.cumsum(n)[:-1]

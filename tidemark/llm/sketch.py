@@ -37,6 +37,23 @@ def flatten(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return values, lengths
 
 
+def grouped_order(row: np.ndarray, h: np.ndarray, q: np.ndarray | None = None) -> np.ndarray:
+    """The order by row, then q (a byte), then h. One sort of packed keys; where the packing drops a difference, the full sort."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    low = 64 - max(int(row[-1]).bit_length(), 1)
+    packed = row.astype(np.uint64) << np.uint64(low)
+    if q is not None:
+        low -= 8
+        packed |= q.astype(np.uint64) << np.uint64(low)
+    packed |= h >> np.uint64(64 - low)
+    order = np.argsort(packed)
+    p, x = packed[order], h[order]
+    if ((p[1:] == p[:-1]) & (x[1:] != x[:-1])).any():
+        return np.lexsort((h, row) if q is None else (h, q, row))
+    return order
+
+
 def slots(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
