@@ -81,10 +81,10 @@ def fold(text: str) -> tuple[str, set[str]]:
         if c in _FULL_PUNCT and _beside_cjk(text, i):
             out.append(c)
             continue
-        if cat == "So" or o in (0xFE0F, 0xFE0E):
+        n = unicodedata.normalize("NFKC", c)
+        if cat == "So" and (n == c or o >= 0x1F000) or o in (0xFE0F, 0xFE0E):
             out.append(c)
             continue
-        n = unicodedata.normalize("NFKC", c)
         if n != c and unicodedata.normalize("NFC", c) == c:
             if c not in ORDINARY:
                 kinds.add("compat")
