@@ -1,8 +1,9 @@
 """Term matching: texts against dictionaries of names and labels.
 
-A dictionary (id, label, term, order columns) is joined to the texts. Single-word plain terms are found by an equi-join on
-the words of the text, so their number does not multiply the texts; only terms of several words or other scripts are
-compared term by term, against a dictionary whose size is checked before it is broadcast.
+A dictionary (id, label, term, order columns) is joined to the texts. A plain term can only match where its longest word is
+a word of the text, so plain terms are found by an equi-join on that word and then checked; their number does not multiply
+the texts. Only terms with other letters, which match inside words too, are compared term by term by a plain substring
+test, against a dictionary whose size is checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.session import small_side
 
-PLAIN = r"^[a-z0-9]+$"
+PLAIN = r"^[a-z0-9][a-z0-9 .+/-]*$"
 
 
 def term_hits(rows: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
@@ -24,10 +25,12 @@ def term_hits(rows: DataFrame, key: str, text: Column, terms: DataFrame) -> Data
     t = terms.withColumn("_t", F.lower("term")).filter(F.col("_t") != "")
     low = F.lower(F.coalesce(text, F.lit("")))
     r = rows.select(F.col(key), low.alias("_low"))
-    words = r.select(key, F.explode(F.array_distinct(F.split("_low", "[^a-z0-9]+"))).alias("_t"))
-    single = words.join(small_side(t.filter(F.col("_t").rlike(PLAIN))), "_t").drop("_t")
-    many = r.join(small_side(t.filter(~F.col("_t").rlike(PLAIN))), X.term_matches(F.col("_low"), F.col("_t"))).drop("_low", "_t")
-    return single.unionByName(many.select(*single.columns)).distinct()
+    longest = F.array_max(F.transform(F.split("_t", "[^a-z0-9]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    plain = t.filter(F.col("_t").rlike(PLAIN)).withColumn("_w", longest)
+    words = r.select(key, "_low", F.explode(F.array_distinct(F.split("_low", "[^a-z0-9]+"))).alias("_w"))
+    hits = words.join(small_side(plain), "_w").filter(X.term_matches(F.col("_low"), F.col("_t"))).drop("_low", "_t", "_w")
+    other = r.join(small_side(t.filter(~F.col("_t").rlike(PLAIN))), F.col("_low").contains(F.col("_t"))).drop("_low", "_t")
+    return hits.unionByName(other.select(*hits.columns)).distinct()
 
 
 def ordered_labels(hits: DataFrame, keys: list[str], order: str, label: str, out: str = "labels") -> DataFrame:

@@ -192,21 +192,32 @@ def _block_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Over the blocks of one source: the states in which the cheapest path enters and leaves each block."""
+    """Over the blocks of one source: the states in which the cheapest path enters and leaves each block.
+
+    Between two blocks of single readings there is nothing to choose, so only open blocks and their neighbours cost work.
+    """
     pdf = pdf.sort_values("_block")
-    cost, prev, steps = None, None, []
-    for f, l, m in zip(pdf["_first"], pdf["_last"], pdf["_matrix"]):
-        f, l = _states(f), _states(l)
-        m = np.array(m, dtype=np.float64).reshape(len(f[0]), len(l[0])) if m is not None and len(m) else np.zeros((len(f[0]), len(l[0])))
-        if cost is None:
-            enter, came = np.zeros(len(f[0])), np.zeros(len(f[0]), dtype=int)
+    zero = np.zeros(1, dtype=int)
+    cost, prev, prev_one, steps = None, None, True, []
+    for f, l, m, is_open in zip(pdf["_first"], pdf["_last"], pdf["_matrix"], pdf["_open"]):
+        if not is_open and prev_one:
+            steps.append((zero, zero))
+            cost, prev = None, l
+            continue
+        fs = _states(f)
+        ls = fs if not is_open and len(f) == len(l) and f[0] is l[0] else _states(l)
+        ps = None if prev is None else _states(prev)
+        if ps is None:
+            enter, came = np.zeros(len(fs[0])), np.zeros(len(fs[0]), dtype=int)
         else:
-            t = cost[:, None] + _transition(prev[0], prev[1], f[0], f[1])
+            base = cost if cost is not None else np.zeros(len(ps[0]))
+            t = base[:, None] + _transition(ps[0], ps[1], fs[0], fs[1])
             enter, came = t.min(0), t.argmin(0)
-        s = enter[:, None] + m
+        inner = np.array(m, dtype=np.float64).reshape(len(fs[0]), len(ls[0])) if is_open else np.zeros((1, 1))
+        s = enter[:, None] + inner
         steps.append((came, s.argmin(0)))
-        cost, prev = s.min(0), l
-    out, end = [], int(cost.argmin())
+        cost, prev, prev_one = (s.min(0), l, False) if is_open else (None, l, True)
+    out, end = [], int(cost.argmin()) if cost is not None else 0
     for came, arg in reversed(steps):
         begin = int(arg[end])
         out.append((begin, end))
