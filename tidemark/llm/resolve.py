@@ -103,8 +103,21 @@ def resolve(companies: DataFrame, relations: DataFrame, rounds: int = 20) -> Dat
     same = F.pandas_udf(_same, T.BooleanType())
     k1 = keyed.select("slip", "rest", F.col("fid").alias("a"), F.col("stem").alias("sa"))
     k2 = keyed.select("slip", "rest", F.col("fid").alias("b"), F.col("stem").alias("sb"))
-    hits = k1.join(k2, ["slip", "rest"]).filter("a < b").select("a", "b", "sa", "sb").distinct()
-    edges = hits.filter(same(F.col("sa"), F.col("sb"))).select("a", "b")
+    hits = k1.join(k2, ["slip", "rest"]).filter("a <> b").select("a", "b", "sa", "sb").distinct().filter(same(F.col("sa"), F.col("sb")))
+    # umlauts written out or not are one spelling; a slip is rarer than what it slipped from. A form with a much more frequent
+    # neighbour joins the most frequent one only, so that two slips never bridge two names; the rest join one another.
+    bare = F.replace(F.replace(F.replace("stem", F.lit("oe"), F.lit("o")), F.lit("ae"), F.lit("a")), F.lit("ue"), F.lit("u"))
+    used = rf.select("fid").unionByName(cf.select("fid")).groupBy("fid").agg(F.count(F.lit(1)).alias("n"))
+    spelled = strict.select("fid", "rest", bare.alias("bare")).join(used, "fid")
+    total = spelled.groupBy("rest", "bare").agg(F.sum("n").alias("n"), F.min("fid").alias("hub"))
+    spelled = stored(spelled.drop("n").join(total, ["rest", "bare"]).select("fid", "n", "hub"), "spelled")
+    hits = hits.join(spelled.select(F.col("fid").alias("a"), F.col("n").alias("na")), "a").join(spelled.select(F.col("fid").alias("b"), F.col("n").alias("nb")), "b")
+    hits = stored(hits.select("a", "b", "na", "nb"), "near")
+    to_centre = hits.filter("nb >= greatest(4, 3 * na)").groupBy("a").agg(F.max_by("b", F.struct("nb", -F.col("b"))).alias("b")).select("a", "b")
+    to_centre = stored(to_centre, "centres")
+    done = to_centre.select("a")
+    peers = hits.filter("a < b and least(na, nb) < 8").join(done, "a", "left_anti").join(done.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
+    edges = to_centre.unionByName(peers).unionByName(spelled.filter("hub <> fid").select(F.col("hub").alias("a"), F.col("fid").alias("b")))
     own = cf.filter("strict").select("id", "fid")
     hub = own.groupBy("id").agg(F.min("fid").alias("a"))
     edges = edges.unionByName(own.join(hub, "id").filter("a <> fid").select("a", F.col("fid").alias("b")))
