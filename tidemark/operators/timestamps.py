@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zoneinfo
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,46 +147,53 @@ def with_readings(rows: DataFrame, value: str, fetched_at: str, tz: str, locale:
     return r.withColumn("_readings", F.filter(both, lambda x: x["at"].isNotNull())).select(*kept, "_readings")
 
 
-def _transition(fmt_a: np.ndarray, at_a: np.ndarray, fmt_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
-    back = np.minimum(np.maximum(at_a[:, None] - at_b[None, :], 0) / 86400 * BACK_COST_A_DAY, BACK_COST_MOST)
-    return SWITCH_COST * (fmt_a[:, None] != fmt_b[None, :]) + back
+States = tuple[list, list, list]  # notations, instants and costs of one record's readings
 
 
-def viterbi(states: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int | None = None, last: int | None = None) -> tuple[list[int], float]:
-    """The cheapest path over states (fmt, at, cost) of consecutive records, with the ends fixed where given; ties go to the earlier state."""
-    cost = states[0][2].copy()
-    if first is not None:
-        cost = np.where(np.arange(len(cost)) == first, cost, np.inf)
+def _move(fmt_a: str, at_a: float, fmt_b: str, at_b: float) -> float:
+    back = (at_a - at_b) / 86400 * BACK_COST_A_DAY
+    return (SWITCH_COST if fmt_a != fmt_b else 0.0) + (0.0 if back <= 0 else min(back, BACK_COST_MOST))
+
+
+def _advance(cost: list[float], a: States, b: States) -> tuple[list[float], list[int]]:
+    """The cheapest costs of reaching each reading of b from readings of a that cost so much, and from which; ties go to the earlier."""
+    out, came = [], []
+    for fb, tb, cb in zip(*b):
+        steps = [c + _move(fa, ta, fb, tb) for c, fa, ta in zip(cost, a[0], a[1])]
+        k = steps.index(min(steps))
+        out.append(steps[k] + cb)
+        came.append(k)
+    return out, came
+
+
+def viterbi(states: list[States], first: int | None = None, last: int | None = None) -> tuple[list[int], float]:
+    """The cheapest path over the readings of consecutive records, with the ends fixed where given; ties go to the earlier reading."""
+    cost = [c if first is None or k == first else float("inf") for k, c in enumerate(states[0][2])]
     back = []
-    for (fa, ta, _), (fb, tb, cb) in zip(states, states[1:]):
-        step = cost[:, None] + _transition(fa, ta, fb, tb)
-        back.append(step.argmin(0))
-        cost = step.min(0) + cb
-    end = int(cost.argmin()) if last is None else last
+    for a, b in zip(states, states[1:]):
+        cost, came = _advance(cost, a, b)
+        back.append(came)
+    end = cost.index(min(cost)) if last is None else last
     total, path = float(cost[end]), [end]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
+    for came in reversed(back):
+        path.append(came[path[-1]])
     return path[::-1], total
 
 
-def _states(readings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (
-        np.array([x["fmt"] for x in readings], dtype=object),
-        np.array([x["at"] for x in readings], dtype=np.float64),
-        np.array([x["cost"] for x in readings], dtype=np.float64),
-    )
+def _states(readings) -> States:
+    return [x["fmt"] for x in readings], [x["at"] for x in readings], [x["cost"] for x in readings]
 
 
 def _block_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The least cost between each reading of a block's first record and each of its last, row by row: a min-plus product."""
     pdf = pdf.sort_values(["_seq", "_key"])
     states = [_states(x) for x in pdf["_readings"]]
     matrix = []
     for i in range(len(states[0][0])):
-        for j in range(len(states[-1][0])):
-            if len(states) == 1 and i != j:
-                matrix.append(float("inf"))
-            else:
-                matrix.append(viterbi(states, i, j)[1])
+        cost = [c if k == i else float("inf") for k, c in enumerate(states[0][2])]
+        for a, b in zip(states, states[1:]):
+            cost, _ = _advance(cost, a, b)
+        matrix += cost
     return pd.DataFrame({"_src": [pdf["_src"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "_matrix": [matrix]})
 
 
@@ -197,31 +203,37 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     Between two blocks of single readings there is nothing to choose, so only open blocks and their neighbours cost work.
     """
     pdf = pdf.sort_values("_block")
-    zero = np.zeros(1, dtype=int)
     cost, prev, prev_one, steps = None, None, True, []
     for f, l, m, is_open in zip(pdf["_first"], pdf["_last"], pdf["_matrix"], pdf["_open"]):
         if not is_open and prev_one:
-            steps.append((zero, zero))
+            steps.append(([0], [0]))
             cost, prev = None, l
             continue
         fs = _states(f)
-        ls = fs if not is_open and len(f) == len(l) and f[0] is l[0] else _states(l)
-        ps = None if prev is None else _states(prev)
-        if ps is None:
-            enter, came = np.zeros(len(fs[0])), np.zeros(len(fs[0]), dtype=int)
+        free = (fs[0], fs[1], [0.0] * len(fs[0]))
+        if prev is None:
+            enter, came = free[2], [0] * len(fs[0])
         else:
-            base = cost if cost is not None else np.zeros(len(ps[0]))
-            t = base[:, None] + _transition(ps[0], ps[1], fs[0], fs[1])
-            enter, came = t.min(0), t.argmin(0)
-        inner = np.array(m, dtype=np.float64).reshape(len(fs[0]), len(ls[0])) if is_open else np.zeros((1, 1))
-        s = enter[:, None] + inner
-        steps.append((came, s.argmin(0)))
-        cost, prev, prev_one = (s.min(0), l, False) if is_open else (None, l, True)
-    out, end = [], int(cost.argmin()) if cost is not None else 0
+            ps = _states(prev)
+            enter, came = _advance(cost if cost is not None else [0.0] * len(ps[0]), ps, free)
+        if not is_open:
+            steps.append((came, [0]))
+            cost, prev, prev_one = None, l, True
+            continue
+        width = len(m) // len(enter)
+        best, arg = [], []
+        for j in range(width):
+            col = [e + m[i * width + j] for i, e in enumerate(enter)]
+            k = col.index(min(col))
+            best.append(col[k])
+            arg.append(k)
+        steps.append((came, arg))
+        cost, prev, prev_one = best, l, False
+    out, end = [], cost.index(min(cost)) if cost is not None else 0
     for came, arg in reversed(steps):
-        begin = int(arg[end])
+        begin = arg[end]
         out.append((begin, end))
-        end = int(came[begin])
+        end = came[begin]
     out.reverse()
     return pd.DataFrame({"_src": pdf["_src"].values, "_block": pdf["_block"].values, "_begin": [x[0] for x in out], "_end": [x[1] for x in out], "_open": pdf["_open"].values})
 
