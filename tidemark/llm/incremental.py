@@ -34,14 +34,20 @@ from tidemark.session import drop_stored, small_side, stored
 
 BLOCKS = 10
 DIGEST_BITS = 6
-RADIUS = 24
+RADIUS = 26
+#: Words no more frequent than this weigh alike, so that a typing slip does not outweigh a name.
+RARE = 4
 LOWER = np.uint64(0x5851F42D4C957F2D)
 
 # Labels set before a headline.
-LABELS = r"^\s*(?:\[[\p{L} ]{3,20}\]|(?:news|exclusive|update|updated|breaking|corrected|correction|live|alert)\s*:)\s*"
+LABEL_WORDS = ("news", "exclusive", "update", "updated", "breaking", "corrected", "correction", "live", "alert")
+LABELS = r"^\s*(?:\[[\p{L} ]{3,20}\]|(?:" + "|".join(LABEL_WORDS) + r")\s*(?::|\s[-–]\s))\s*"
 #: A publisher's name after a separator at the end: up to three words, or a clipped one.
 PUBLISHER = r"\s+[-|–—]\s+(?:[\p{L}\p{N}.&'’]+\s?){1,3}(?:\.{3}|…)?\s*$"
 
+#: The same turned round to the front.
+TURNED = r"^\s*[|–—-]\s+\p{Lu}\S*\s+\p{Lu}\S*\s+(?=\p{Lu})"
+
 
 @F.pandas_udf(T.StringType())
 def _cased(s: pd.Series) -> pd.Series:
@@ -52,7 +58,7 @@ def headline(title: Column) -> Column:
     """The headline itself: characters made consistent, labels and publisher cut off, codes written together; case kept."""
     c = F.coalesce(_cased(F.when(suspect(title), title)), title)
     c = F.regexp_replace(c, "(?i)" + LABELS, "")
-    c = F.regexp_replace(c, PUBLISHER, "")
+    c = F.regexp_replace(F.regexp_replace(c, PUBLISHER, ""), TURNED, "")
     return F.trim(F.regexp_replace(c, r"(?<=\b[A-Za-z]{1,6})[-‐](?=\d)", ""))
 
 
@@ -94,6 +100,7 @@ def _blocks(sketch):
                 continue
             start = np.r_[0, np.cumsum(n)[:-1]]
             count = 2.0 ** ((np.maximum(table[S.slots(v)], 1).astype(float) - 1) / 4)
+            count = np.maximum(count, RARE)
             keys, fp = [], np.zeros(len(n), np.uint64)
             row = np.repeat(np.arange(len(n)), n)
             for k in range(BLOCKS):
@@ -137,7 +144,7 @@ def near_equal(a: str, b: str) -> bool:
 
 
 _SPLIT = re.compile(r"[゠-ヿ]+|[㐀-鿿]+|[぀-ゟ]+|[^\W_゠-ヿ㐀-鿿぀-ゟ]+")
-_CLIPPED = re.compile(r"(?:\.{3,}|…)\s*$")
+_CLIPPED = re.compile(r"(?:\.{3,}|…)(?:\s|$)")
 
 
 def _is_name(word: str, ordinary) -> bool:
@@ -147,7 +154,7 @@ def _is_name(word: str, ordinary) -> bool:
         return True
     if "㐀" <= word[0] <= "鿿" or "぀" <= word[0] <= "ゟ":
         return False
-    return word[0].isupper() and not ordinary(word.lower())
+    return word[0].isupper() and word.lower() not in LABEL_WORDS and not ordinary(word.lower())
 
 
 def same_headline(a: str, b: str, ordinary) -> bool:
