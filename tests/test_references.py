@@ -10,7 +10,7 @@ def tables(spark):
     old, late = dt.datetime(2025, 1, 1), dt.datetime(2026, 2, 1)
     companies = [("a", None, old, None, 0, "x"), ("b", "gone", old, None, 0, "x"), ("c", "b", old, None, 0, "x"), ("d", "c", old, T, 0, "x"), ("e", None, late, None, 0, "x"), ("r", "s", old, None, 0, "x"), ("s", "r", old, None, 0, "x")]
     companies += [("e2", None, late, None, 0, "x"), ("e2", None, old, late, 0, "x")]
-    rows = [(1, ["a", "zz", "", None, "zz"], T), (2, ["c", "d"], T), (3, ["e", "e2"], T), (4, None, T), (1, ["a", "zz", "", None, "zz"], T), (5, ["a "], T), (6, ["r", "e"], None)]
+    rows = [(1, ["a", "zz", "", None, "zz"], T), (2, ["c", "d"], T), (3, ["e", "e2"], T), (4, None, T), (1, ["a", "zz", "", None, "zz"], T), (5, ["a "], T), (6, ["r", "e"], None), (None, ["zz"], T)]
     return {
         "companies": spark.createDataFrame(companies, dim),
         "items": spark.createDataFrame(rows, "k long, ids array<string>, at timestamp").selectExpr("*", "'q' as kind", "1 as depth", "date'2026-01-05' as day"),

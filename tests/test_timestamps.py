@@ -34,7 +34,7 @@ def run(spark, sources, rows):
 
 
 def test_notations_nulls_and_clashing_columns(spark, sources):
-    rows = [(i, v, s, AT, 7, "x") for i, (v, s, _) in enumerate(CASES)]
+    rows = [(i, v, s, AT, 7, "x") for i, (v, s, _) in enumerate(CASES)] + [(None, "20260105", "a", AT, 7, "x"), (900, "2 days ago", "a", None, 7, "x")]
     got = run(spark, sources, rows + rows[:5])
     assert got == {i: w for i, (_, _, w) in enumerate(CASES) if w is not None}
 

@@ -54,7 +54,7 @@ def exploded(rows: DataFrame, ref: Reference) -> DataFrame:
     period = F.date_format(F.col(ref.period), "yyyy-MM") if ref.period else F.lit(None).cast("string")
     return (
         rows.select(F.col(ref.key).cast("string").alias("key"), value.alias("ref_id"), at.alias("at"), period.alias("period"))
-        .filter(F.col("ref_id").isNotNull() & (F.col("ref_id") != ""))
+        .filter(F.col("key").isNotNull() & F.col("ref_id").isNotNull() & (F.col("ref_id") != ""))
     )
 
 

@@ -256,7 +256,7 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     dim = sources.groupBy(F.col("id").alias("_sid")).agg(F.min("feed_tz").alias("_tz"), F.min("feed_locale").alias("_loc"))
     r = rows.select(
         F.col(key).cast("long").alias("_key"), F.col(value).alias("_value"), F.col(source).alias("_sid"), F.col(fetched).alias("_fetched")
-    ).filter(F.trim("_value") != "")
+    ).filter((F.trim("_value") != "") & F.col("_key").isNotNull())
     r = with_readings(r.join(small_side(dim), "_sid", "left"), "_value", "_fetched", "_tz", "_loc")
     r = r.select("_key", F.coalesce("_sid", F.lit("")).alias("_src"), F.col("_fetched").alias("_seq"), "_readings")
     # written first: a filter over the readings would be pushed down and inline all of the parsing several times
