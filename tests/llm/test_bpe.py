@@ -46,7 +46,7 @@ def test_queue_gives_least_rank_leftmost():
 
 
 def test_rows(spark, coders):
-    df = spark.createDataFrame([(1, "Hello  world"), (2, ""), (3, None), (4, " \n "), (1, "Hello  world")], "doc_id long, text string").selectExpr("*", "'x' as key", "array(1) as ids")
+    df = spark.createDataFrame([(1, "Hello  world"), (2, ""), (3, None), (4, " \n "), (1, "Hello  world"), (None, "x")], "doc_id long, text string").selectExpr("*", "'x' as key", "array(1) as ids")
     got = [(r.doc_id, r.ids) for r in bpe.encoded(df, "doc_id", "text").collect()]
     assert got.count((1, coders[1].encode_ordinary("Hello  world"))) == 2
     assert (2, []) in got and (3, []) in got and (4, coders[1].encode_ordinary(" \n ")) in got

@@ -37,7 +37,7 @@ def test_chains_pages_nulls_and_repeats(spark):
         (1001, "What we know", "http://www.b.example/p/2?utm_source=x"), (1002, "News: " + title.upper(), "http://c.example/p/9"), (1003, None, None), (1004, "", ""),
         (1005, "Something else entirely about Morvex", "http://d.example/p/1"), (1006, "Something else entirely about Morvex", "http://e.example/p/1"),
         (1007, "Regulator clears Prod7x from Firm9y after data", "http://g.example/p/1"), (1008, "x " * 50_000, "http://h.example/p/1"),
-        (1006, "Something else entirely about Morvex", "http://e.example/p/1"),
+        (1006, "Something else entirely about Morvex", "http://e.example/p/1"), (None, title, "http://a.example/p/1"),
     ]
     assert found(spark, history, batch) == {(1, 1001), (1, 1002), (1005, 1006)}
 

@@ -39,8 +39,8 @@ def test_equals_brute_force(spark):
 
 def test_edges(spark):
     text = " ".join(f"word{k}" for k in range(14))
-    docs = [(1, None), (2, ""), (3, "short"), (4, "x\n“" + text.replace(" ", ", ") + "”"), (5, "pad " * 100_000 + text), (4, text), (6, " ".join(text.split()[:11])), (7, text.replace("word3", "wоrd3"))]
-    items = [(1, text), (1, text), (2, None), (3, ""), (4, "too short"), (5, text)]
+    docs = [(1, None), (2, ""), (3, "short"), (4, "x\n“" + text.replace(" ", ", ") + "”"), (5, "pad " * 100_000 + text), (4, text), (6, " ".join(text.split()[:11])), (7, text.replace("word3", "wоrd3")), (None, text)]
+    items = [(1, text), (1, text), (2, None), (3, ""), (4, "too short"), (5, text), (None, text)]
     got = {(r.doc_id, r.item_id): (r.run, r.item_words) for r in run(spark, docs, items).collect()}
     assert got == {(d, i): (14, 14) for d in (4, 5, 7) for i in (1, 5)}
     assert run(spark, docs, []).count() == 0 and run(spark, [], items).count() == 0

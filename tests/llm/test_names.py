@@ -43,7 +43,7 @@ COMPANIES = [
 RELATIONS = [
     ("r1", "Tomesxan Immunol. Ltd"), ("r2", "TMXI"), ("r3", "Tomesoxan"), ("r4", "Keroluqubar"), ("r5", "Keroluqubar Anal."), ("r6", "カタカナ"), ("r7", "Bill Cebrafisyn Lab"), ("r8", "William Cebrafisin Research Group"),
     ("r9", "Anthony Cebrafisyn Laboratory"), ("ra", "W. Cebrafisyn Lab"), ("rb", None), ("rc", "undisclosed"), ("rd", "Zomirekor Labs"), ("re", "Zomirekor Reagents"), ("rf", "Old Kaneri"), ("rg", "old  kaneri"), ("r7", "Bill Cebrafisyn Lab"),
-    ("rh", "x" * 50_000), ("ri", "team bravo"),
+    ("rh", "x" * 50_000), ("ri", "team bravo"), (None, "team bravo"),
 ]
 WANT = {
     ("c1", "c2"), ("c1", "r1"), ("c2", "r1"), ("c1", "r2"), ("c2", "r2"), ("c1", "r3"), ("c2", "r3"), ("c3", "r5"), ("c5", "r6"), ("r7", "r8"), ("r7", "ra"), ("r8", "ra"), ("rf", "rg"), ("c1", "ri"), ("c2", "ri"),

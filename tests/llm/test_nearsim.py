@@ -76,7 +76,7 @@ def test_groups_equal_brute_force(spark, widest):
 def test_edges_of_the_data(spark):
     text = "one two three four five six seven eight"
     rows = [(1, None, text, None), (2, "", text, ""), (3, "x", None, "http://a.example/p/1"), (4, "x", "", "http://www.a.example/p/1?utm_source=q"), (5, "x", "   ", None), (6, "y", "unlike", None)]
-    rows += [(7, "", "lang " * 60_000, None), (8, "", "lang " * 59_000, None), (1, None, text, None)]
+    rows += [(7, "", "lang " * 60_000, None), (8, "", "lang " * 59_000, None), (1, None, text, None), (None, None, text, None)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as page", "3 as w")
     got = {(r.id_a, r.id_b) for r in N.group_pairs(N.groups(df, "k", "title", "summary", "url")).collect()}
     assert got == {(1, 2), (3, 4), (7, 8)}

@@ -27,7 +27,7 @@ def table(spark, rows):
 
 def test_operator_nulls_repeats_clashes_long(spark):
     long = "word " * 50_000 + "ѕite"
-    rows = [(1, "plain", None), (2, "", "a b"), (3, "сell", "pαnel of pαnels"), (3, "сell", "pαnel of pαnels"), (4, long, "the panel"), (5, "TNFα", "Цена")]
+    rows = [(1, "plain", None), (2, "", "a b"), (3, "сell", "pαnel of pαnels"), (3, "сell", "pαnel of pαnels"), (4, long, "the panel"), (5, "TNFα", "Цена"), (None, "сell", "a b")]
     got = {(r.id, r.field): (sorted(r.kinds), r.clean) for r in lookalikes.repaired(table(spark, rows), "k", ["t", "s"]).collect()}
     assert set(got) == {(2, "s"), (3, "t"), (3, "s"), (4, "t")}
     assert got[2, "s"] == (["space"], "a b") and got[3, "t"] == (["lookalike"], "cell")

@@ -31,7 +31,7 @@ def test_rows_and_limits(spark):
             text = "x" * (k % 50) + " " + text
             text = text[:500] if len(text) > 500 else text.strip()
         rows.append((k, text.strip() if len(text) != 500 else text, "hot"))
-    rows += [(1000, None, "hot"), (1001, "", None), (1002, "ACGT" * 125, "hot"), (1003, BODY + "Both sides plan a joi", None), (1004, BODY * 30_000, "hot"), (1005, BODY + "Jane", "other"), (1003, BODY + "Both sides plan a joi", None)]
+    rows += [(1000, None, "hot"), (1001, "", None), (1002, "ACGT" * 125, "hot"), (1003, BODY + "Both sides plan a joi", None), (1004, BODY * 30_000, "hot"), (1005, BODY + "Jane", "other"), (1003, BODY + "Both sides plan a joi", None), (None, BODY + "Both sides plan a joi", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as key", "2 as chars", "3 as ends", "4 as cut")
     got = {r.doc_id: r for r in T.truncated(df, "doc_id", "text", "source").collect()}
     cut = {k for k, t, _ in rows[:300] if len(t) == 500 and not t.rstrip().endswith(".")}

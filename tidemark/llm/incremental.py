@@ -72,6 +72,7 @@ def prepared(rows: DataFrame, key: str, title: str, url: str) -> DataFrame:
     """(id, head, w, low, page): headline, hashes of its words in lower case, whether each begins in lower case, page hash. One row per id."""
     head = headline(F.col(title))
     r = rows.select(F.col(key).cast("long").alias("id"), head.alias("head"), page_key_column(F.col(url)).alias("p"))
+    r = r.filter("id is not null")
     words = F.coalesce(_words(F.col("head")), F.array().cast("array<string>"))
     return r.select(
         "id", "head",
@@ -351,8 +352,8 @@ def batch_repeats(history: DataFrame, batches: DataFrame, key: str = "candidate_
 
     Ids must grow with time, as first means the least id. Null and blank titles have no fingerprint and null urls no page;
     such rows match by the other alone. Repeated rows of an id count once; empty tables give no rows; other columns are
-    not read.
+    not read, rows without an id are left out.
     """
     index = Index.build(history, key, title, url)
     index.append(batches, key, title, url)
-    return repeats(index, batches.select(F.col(key).cast("long").alias("id")))
+    return repeats(index, batches.select(F.col(key).cast("long").alias("id")).filter("id is not null"))

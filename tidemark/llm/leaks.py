@@ -67,7 +67,7 @@ class Items:
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Items]:
     rows = items.select(F.col(key).cast("long").alias("id"), word_hashes(comparable_column(F.col(text))).alias("w"))
-    rows = rows.filter(F.size("w") >= RUN).dropDuplicates(["id"])
+    rows = rows.filter((F.size("w") >= RUN) & F.col("id").isNotNull()).dropDuplicates(["id"])
     ids, words, size = [], [], 0
     for r in rows.toLocalIterator():
         w = np.array(r["w"], np.int64).view(np.uint64)
@@ -159,12 +159,13 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     """(key, item_id, run, item_words): documents that hold at least RUN consecutive words of an item, with the longest run.
 
     Words are runs of letters and digits of the comparable form. Null and empty texts and items of fewer than RUN words
-    match nothing; repeated rows of a key come out once; documents are read whole; with no items the result is empty.
+    match nothing; repeated rows of a key come out once; documents are read whole; with no items the result is empty;
+    documents and items without a key are left out.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     schema = f"key {kind}, item_id long, run int, item_words int"
-    w = docs.select(F.col(key).alias("key"), word_hashes(comparable_column(F.col(text))).alias("w"))
+    w = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_hashes(comparable_column(F.col(text))).alias("w"))
     out = spark.createDataFrame([], schema)
     for block in _blocks(items, item_key, item_text):
         shared = spark.sparkContext.broadcast(block.shingle)

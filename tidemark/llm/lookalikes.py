@@ -44,7 +44,7 @@ def _repaired(folded: pd.Series, known: pd.Series) -> pd.Series:
 def values(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, value), repeated rows included; null values left out."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    return rows.select(F.col(key).alias("id"), F.explode(pairs).alias("p")).select("id", "p.field", "p.value").filter(F.col("value").isNotNull())
+    return rows.select(F.col(key).alias("id"), F.explode(pairs).alias("p")).select("id", "p.field", "p.value").filter(F.col("id").isNotNull() & F.col("value").isNotNull())
 
 
 def repaired(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

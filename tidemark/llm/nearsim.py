@@ -447,8 +447,9 @@ def groups(rows: DataFrame, key: str, title: str, summary: str, url: str, t: flo
 
     Rows are tied by word overlap of at least t over title plus summary (both summaries non-empty), or by the same page.
     Null titles count as empty, null and blank urls as no page; repeated rows of a key count once; very long texts are
-    taken whole; an empty table gives no rows. Other columns are not read.
+    taken whole; an empty table gives no rows. Other columns are not read, rows without a key are left out.
     """
+    rows = rows.filter(F.col(key).isNotNull())
     scan = scanned(rows, key, url, title, summary)
     pages = star(scan.filter("page is not null").select("id", "page"), ["page"]).distinct()
     ties = text_ties(rows, key, title, summary, t, scan=scan)

@@ -85,8 +85,8 @@ def resolve(companies: DataFrame, relations: DataFrame, rounds: int = 20) -> Dat
     """
     c = companies.select("id", F.split("display_name", r"\s+/\s+").alias("d"), F.coalesce("aliases", F.array().cast("array<string>")).alias("a"))
     c = c.select("id", F.explode(F.array_distinct(F.concat(F.coalesce("d", F.array().cast("array<string>")), "a"))).alias("spelling"))
-    c = c.filter(F.col("spelling").isNotNull()).distinct()
-    r = relations.select("id", F.col("organization").alias("spelling")).filter(F.col("spelling").isNotNull()).distinct()
+    c = c.filter("spelling is not null and id is not null").distinct()
+    r = relations.select("id", F.col("organization").alias("spelling")).filter("spelling is not null and id is not null").distinct()
     p = stored(parsed(c.select("spelling").unionByName(r.select("spelling"))), "parsed")
     cf = stored(c.join(p, "spelling").filter("fid is not null").select("id", "fid", "kind", "strict").distinct(), "company_forms")
     rf = stored(r.join(p, "spelling").filter("fid is not null").select("id", "fid").distinct(), "relation_forms")

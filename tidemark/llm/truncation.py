@@ -129,7 +129,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def judged(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, source, ends, chars, bytes) of each row; ends is none for null, empty, blank and non-prose texts."""
     kind = dict(rows.dtypes)[key]
-    r = rows.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
+    r = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
     return r.mapInPandas(_judge, f"key {kind}, source string, ends string, chars long, bytes long")
 
 
@@ -147,7 +147,7 @@ def truncated(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
     A text at a limit is cut unless it ends as a sentence or is no prose; any other is cut if it ends with dots, broken or
     open. Null, empty, blank and non-prose texts are never cut. A null source is one source. Rows of equal key are judged
-    alike; an empty table gives no rows.
+    alike; an empty table gives no rows, rows without a key are left out.
     """
     j = stored(judged(rows, key, text, source), "judged")
     s = stored(spikes(j.filter("ends <> 'none'")).select(F.coalesce("source", F.lit("")).alias("_s"), "unit", "length"), "spikes")
