@@ -271,7 +271,9 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     open_blocks = blocks.filter("_open").select("_src", "_block")
     inside = r.join(open_blocks, ["_src", "_block"]).dropDuplicates(["_key"])
     cols = inside.select("_src", "_block", "_seq", "_key", "_n", "_readings")
-    matrices = cols.groupBy("_src", "_block").applyInPandas(_block_matrix, "_src string, _block date, _matrix array<double>")
+    # spread by number: by size alone these few bytes of much work would be put into one task
+    spread = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    matrices = cols.repartition(spread, "_src", "_block").groupBy("_src", "_block").applyInPandas(_block_matrix, "_src string, _block date, _matrix array<double>")
     chained = (
         blocks.join(matrices, ["_src", "_block"], "left")
         .groupBy("_src")
@@ -281,6 +283,7 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     )
     many = (
         cols.join(chained, ["_src", "_block"])
+        .repartition(spread, "_src", "_block")
         .groupBy("_src", "_block")
         .applyInPandas(_solve, "_key long, _at long, _fmt string")
     )
