@@ -180,14 +180,19 @@ def viterbi(states: list[States], first: int | None = None, last: int | None = N
     return path[::-1], total
 
 
-def _states(readings) -> States:
-    return [x["fmt"] for x in readings], [x["at"] for x in readings], [x["cost"] for x in readings]
+def _flat(readings: str, prefix: str) -> list[Column]:
+    """The readings as three parallel arrays: structs in arrays are slow to bring into Python."""
+    return [F.col(f"{readings}.{x}").alias(f"{prefix}_{x}") for x in ("fmt", "at", "cost")]
+
+
+def _states(pdf: pd.DataFrame, prefix: str) -> list[States]:
+    return [(list(f), list(t), list(c)) for f, t, c in zip(pdf[f"{prefix}_fmt"], pdf[f"{prefix}_at"], pdf[f"{prefix}_cost"])]
 
 
 def _block_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
     """The least cost between each reading of a block's first record and each of its last, row by row: a min-plus product."""
     pdf = pdf.sort_values(["_seq", "_key"])
-    states = [_states(x) for x in pdf["_readings"]]
+    states = _states(pdf, "_r")
     matrix = []
     for i in range(len(states[0][0])):
         cost = [c if k == i else float("inf") for k, c in enumerate(states[0][2])]
@@ -204,21 +209,19 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """
     pdf = pdf.sort_values("_block")
     cost, prev, prev_one, steps = None, None, True, []
-    for f, l, m, is_open in zip(pdf["_first"], pdf["_last"], pdf["_matrix"], pdf["_open"]):
+    for fs, ls, m, is_open in zip(_states(pdf, "_first"), _states(pdf, "_last"), pdf["_matrix"], pdf["_open"]):
         if not is_open and prev_one:
             steps.append(([0], [0]))
-            cost, prev = None, l
+            cost, prev = None, ls
             continue
-        fs = _states(f)
         free = (fs[0], fs[1], [0.0] * len(fs[0]))
         if prev is None:
             enter, came = free[2], [0] * len(fs[0])
         else:
-            ps = _states(prev)
-            enter, came = _advance(cost if cost is not None else [0.0] * len(ps[0]), ps, free)
+            enter, came = _advance(cost if cost is not None else [0.0] * len(prev[0]), prev, free)
         if not is_open:
             steps.append((came, [0]))
-            cost, prev, prev_one = None, l, True
+            cost, prev, prev_one = None, ls, True
             continue
         width = len(m) // len(enter)
         best, arg = [], []
@@ -228,7 +231,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
             best.append(col[k])
             arg.append(k)
         steps.append((came, arg))
-        cost, prev, prev_one = best, l, False
+        cost, prev, prev_one = best, ls, False
     out, end = [], cost.index(min(cost)) if cost is not None else 0
     for came, arg in reversed(steps):
         begin = arg[end]
@@ -240,7 +243,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["_seq", "_key"])
-    states = [_states(x) for x in pdf["_readings"]]
+    states = _states(pdf, "_r")
     path, _ = viterbi(states, int(pdf["_begin"].iloc[0]), int(pdf["_end"].iloc[0]))
     ok = [(k, int(s[1][p]), s[0][p]) for k, n, s, p in zip(pdf["_key"], pdf["_n"], states, path) if n > 1]
     return pd.DataFrame({"_key": [x[0] for x in ok], "_at": [x[1] for x in ok], "_fmt": [x[2] for x in ok]}).astype({"_key": "int64", "_at": "int64"})
@@ -270,12 +273,13 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     )
     open_blocks = blocks.filter("_open").select("_src", "_block")
     inside = r.join(open_blocks, ["_src", "_block"]).dropDuplicates(["_key"])
-    cols = inside.select("_src", "_block", "_seq", "_key", "_n", "_readings")
+    cols = inside.select("_src", "_block", "_seq", "_key", "_n", *_flat("_readings", "_r"))
     # spread by number: by size alone these few bytes of much work would be put into one task
     spread = 2 * rows.sparkSession.sparkContext.defaultParallelism
     matrices = cols.repartition(spread, "_src", "_block").groupBy("_src", "_block").applyInPandas(_block_matrix, "_src string, _block date, _matrix array<double>")
     chained = (
         blocks.join(matrices, ["_src", "_block"], "left")
+        .select("_src", "_block", "_open", "_matrix", *_flat("_first", "_first"), *_flat("_last", "_last"))
         .groupBy("_src")
         .applyInPandas(_chain, "_src string, _block date, _begin int, _end int, _open boolean")
         .filter("_open")
