@@ -280,6 +280,7 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     chained = (
         blocks.join(matrices, ["_src", "_block"], "left")
         .select("_src", "_block", "_open", "_matrix", *_flat("_first", "_first"), *_flat("_last", "_last"))
+        .repartition(spread, "_src")
         .groupBy("_src")
         .applyInPandas(_chain, "_src string, _block date, _begin int, _end int, _open boolean")
         .filter("_open")
