@@ -155,5 +155,5 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def word_hashes(c: Column) -> Column:
     """array<bigint>: a 64-bit hash of each word of comparable text, in order; empty for null or no words."""
-    words = F.filter(F.split(c, NOT_WORD), lambda w: w != "")
+    words = F.array_remove(F.split(c, NOT_WORD), "")
     return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
