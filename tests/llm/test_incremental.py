@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from tidemark.llm import incremental as I
@@ -59,3 +62,43 @@ def test_batch_by_batch_equals_all_at_once(spark):
         got |= {tuple(r) for r in I.repeats(index, b.selectExpr("candidate_id as id")).collect()}
     once = {tuple(r) for r in I.batch_repeats(h, batches[0].unionByName(batches[1])).collect()}
     assert got == once and len(got) > 20
+
+
+TEMPLATES = (
+    "Regulator clears {} from {} {} after {} {} files new {} data", "Why {} matters for {} as {} results from {} {} surprise experts in {}",
+    "{} {} raises funds to bring {} into studies with {} {} and {}", "{} trial by {} {} misses its goal as the {} arm of {} {} goes on",
+)
+
+
+def clipped_and_slipped(n, slips, seed, least, most):
+    """(title, copy): the copy ends between these parts of the title, with slips in as many of the words left."""
+    rnd = random.Random(seed)
+    parts = [a + b + c for a in ("Ba", "Co", "Du", "Fe", "Gi") for b in ("lira", "mozo", "nexu", "pavi", "qued", "rilo") for c in ("tan", "vex", "mab", "sol")]
+    names = [rnd.choice(parts) + rnd.choice(parts).lower() for _ in range(300)]
+    pairs = []
+    for _ in range(n):
+        title = rnd.choice(TEMPLATES).format(*[rnd.choice(names) for _ in range(6)])
+        words = title.split()
+        words = words[: round(len(words) * rnd.uniform(least, most))]
+        long = [i for i, w in enumerate(words) if len(w) > 4]
+        for k in rnd.sample(long, min(slips, len(long))):
+            at = rnd.randrange(1, len(words[k]) - 1)
+            words[k] = words[k][:at] + words[k][at + 1 :]
+        pairs.append((title, " ".join(words) + " ..."))
+    return pairs
+
+
+def recall(spark, pairs):
+    """The part of the pairs that same_headline() accepts for which a look-up of the copy finds the tie."""
+    lower = Counter(w for t, _ in pairs for w in I._SPLIT.findall(t) if w[0].islower())
+    want = {(k, 10_000 + k) for k, (t, c) in enumerate(pairs) if I.same_headline(t, c, lambda w: lower[w] >= 3)}
+    index = I.Index.build(spark.createDataFrame([(k, t, None) for k, (t, _) in enumerate(pairs)], SCHEMA), "candidate_id", "title", "url")
+    copies = spark.createDataFrame([(10_000 + k, c, None) for k, (_, c) in enumerate(pairs)], SCHEMA)
+    index.append(copies, "candidate_id", "title", "url")
+    got = {tuple(r) for r in index.ties(copies.selectExpr("candidate_id as id")).collect()}
+    assert len(want) > 20
+    return len(want & got) / len(want)
+
+
+def test_recall_of_clips_with_slips(spark):
+    assert recall(spark, clipped_and_slipped(600, 1, 5, 0.3, 0.45)) > 0.9

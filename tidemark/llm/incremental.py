@@ -1,11 +1,10 @@
-"""New batches against everything accepted: fingerprint index, lookups that follow the batch, append.
+"""New batches against everything accepted: block index, lookups that follow the batch, append.
 
 A title's fingerprint has BLOCKS blocks. Each block is the minimum, over the title's words, of a random value weighted by
 rarity, so titles that share their rare words (names, codes, numbers) share blocks, and a frequent word almost never fills
-one. The bits of the blocks' digests make a 60-bit fingerprint whose Hamming distance follows the difference of two
-titles. The index keeps one row per block in block tables (block number and value as key, rotated so that each block
-leads once), plus one per page key. A batch looks up its own blocks only; hits are checked by Hamming distance, then by
-the titles' text. Matched history rows look up their own blocks in turn until nothing new is found, so that an item's
+one. The index keeps one row per block in block tables (block number and value as key), plus one per page key. A batch
+looks up its own blocks only; every hit goes to the check of the titles' text, as one whole block is all that an edited
+title may keep. Matched history rows look up their own blocks in turn until nothing new is found, so that an item's
 first record is reached through any chain, at a cost that follows the batch. Then the batch is appended.
 
 The index side of a lookup is never shuffled while the batch's keys are small enough to broadcast (their size is
@@ -32,9 +31,7 @@ from tidemark.llm.text import NOT_WORD, fold, repair, suspect
 from tidemark.operators.components import components
 from tidemark.session import drop_stored, small_side, stored
 
-BLOCKS = 10
-DIGEST_BITS = 6
-RADIUS = 26
+BLOCKS = 16
 #: Words no more frequent than this weigh alike, so that a typing slip does not outweigh a name.
 RARE = 4
 LOWER = np.uint64(0x5851F42D4C957F2D)
@@ -89,7 +86,7 @@ def _slot_tokens(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _blocks(sketch):
-    """A mapInArrow function: (id, w) to (key, id, fp), a row per block."""
+    """A mapInArrow function: (id, w) to (key, id), a row per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
@@ -102,7 +99,7 @@ def _blocks(sketch):
             start = np.r_[0, np.cumsum(n)[:-1]]
             count = 2.0 ** ((np.maximum(table[S.slots(v)], 1).astype(float) - 1) / 4)
             count = np.maximum(count, RARE)
-            keys, fp = [], np.zeros(len(n), np.uint64)
+            keys = []
             row = np.repeat(np.arange(len(n)), n)
             for k in range(BLOCKS):
                 with np.errstate(over="ignore"):
@@ -113,13 +110,8 @@ def _blocks(sketch):
                 at = np.flatnonzero(cost == least[row])
                 first = at[np.r_[True, row[at][1:] != row[at][:-1]]]
                 with np.errstate(over="ignore"):
-                    block = S.mix(x[first] ^ np.uint64(k * 0x51ED27))
-                keys.append(block)
-                fp |= (block >> np.uint64(64 - DIGEST_BITS)) << np.uint64(k * DIGEST_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BLOCKS)), pa.array(np.tile(fp.view(np.int64), BLOCKS))],
-                names=["key", "id", "fp"],
-            )
+                    keys.append(S.mix(x[first] ^ np.uint64(k * 0x51ED27)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BLOCKS))], names=["key", "id"])
 
     return run
 
@@ -288,7 +280,7 @@ class Index:
         self._add(stored(prepared(rows, key, title, url).drop("low"), "heads"))
 
     def _add(self, prep: DataFrame) -> None:
-        blocks = stored(prep.select("id", "w").mapInArrow(_blocks(self.sketch), "key long, id long, fp long"), "blocks")
+        blocks = stored(prep.select("id", "w").mapInArrow(_blocks(self.sketch), "key long, id long"), "blocks")
         self.parts.append((prep, blocks))
 
     def heads(self) -> DataFrame:
@@ -300,8 +292,8 @@ class Index:
     def ties(self, ids: DataFrame) -> DataFrame:
         """(a, b): verified ties between the rows of ids (id) and any other row of the index."""
         mine = small_side(stored(ids.distinct(), "frontier"))
-        q = stored(self.blocks().join(mine, "id", "left_semi").select("key", F.col("id").alias("q"), F.col("fp").alias("qf")).distinct(), "lookups")
-        hits = self.blocks().join(small_side(q), "key").filter("id <> q").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("qf"))) <= RADIUS)
+        q = stored(self.blocks().join(mine, "id", "left_semi").select("key", F.col("id").alias("q")).distinct(), "lookups")
+        hits = self.blocks().join(small_side(q), "key").filter("id <> q")
         pairs = stored(hits.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct(), "hits")
         need = small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need"))
         texts = stored(self.heads().join(need, "id", "left_semi").select("id", "head", "w").dropDuplicates(["id"]), "texts")
