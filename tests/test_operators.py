@@ -28,6 +28,14 @@ def test_components_of_random_graphs_with_a_hub(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    path = spark.range(999).selectExpr("id as a", "id + 1 as b")
+    got = {r.id: r.root for r in components.components(path).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    with pytest.raises(RuntimeError):
+        components.components(path, rounds=1)
+
+
 def serial(rows):
     urls, titles, out = {}, {}, {}
     for seq, u, t in sorted(rows):

@@ -1,32 +1,51 @@
 """Connected components of an edge table, by hooking to the least neighbour and contraction.
 
-Every node hooks to its least neighbour if that is smaller than itself, pointers are shortened once, and the edges are
-rewritten between the roots; self-loops and repeats drop out. Only minimum aggregates and equi-joins are used, so a node
+Every node hooks to its least neighbour if that is smaller than itself, pointers are shortened until all name their roots,
+and the edges are rewritten between the roots; self-loops and repeats drop out. A root whose neighbours all went elsewhere
+has a smaller neighbour in the next round, so two rounds at least halve the nodes, and a shortening doubles what a pointer
+spans: both loops are logarithmic and end only when nothing is left. Only minimum aggregates and equi-joins are used, so a node
 with very many neighbours is pre-aggregated on the map side and never gathered. Each round works on the shrunken graph,
 written to the shared folder.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import drop_stored, stored
 
 
+def _shortened(hook: DataFrame, rounds: int) -> DataFrame:
+    """hook (u, p), p <= u, with each p replaced by its root; hook itself is deleted."""
+    for _ in range(rounds):
+        up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        jump = stored(hook.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "jumps")
+        drop_stored(hook)
+        hook = jump
+        if jump.filter("moved").isEmpty():
+            return jump
+    raise RuntimeError(f"components: pointers without their roots after {rounds} shortenings")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(id, root): root is the least id of id's component; ids in no edge between two different ids are left out. Nulls are dropped."""
+    """(id, root): root is the least id of id's component; ids in no edge between two different ids are left out. Nulls are dropped.
+
+    rounds is a safety bound: an error is raised where edges are left after it.
+    """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     e = stored(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     assigned: DataFrame | None = None
-    for _ in range(rounds):
+    for done in count():
         if e.isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"components: edges left after {rounds} rounds")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        hook = stored(hook, "hooks")
-        up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jump = stored(hook.join(up, "p").select("u", F.col("pp").alias("p")), "jumps")
+        jump = _shortened(stored(hook, "hooks"), rounds)
         pu = jump.select("u", F.col("p").alias("pu"))
         pv = jump.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         nxt = e.join(pu, "u").join(pv, "v").filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
@@ -36,7 +55,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         else:
             now = assigned.join(jump.select(F.col("u").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
         now = stored(now, "assigned")
-        for old in (e, hook, assigned):
+        for old in (e, assigned):
             if old is not None:
                 drop_stored(old)
         if assigned is not None:
