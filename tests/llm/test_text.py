@@ -57,3 +57,14 @@ def test_same_page(spark, a, b):
 def test_other_pages_and_nothing():
     assert pages.page_key("https://x.example/i.php?p=5") != pages.page_key("https://x.example/i.php?p=6")
     assert pages.page_key(None) is None and pages.page_key("  ") is None and pages.page_key("http://[bad") == "http://[bad"
+
+
+def test_suspect_wherever_something_is_found(spark):
+    looks = sorted(X.LOOKALIKE)
+    texts = ["journé\u0435", "anné\u0435", "pequeñ\u043e", "añ\u043e", "\u0430é", "aカ\u043e", "\u043e漢字a"]
+    texts += [f"é{c}" for c in looks] + [f"{c}ñ" for c in looks] + [f"x{c}" for c in looks]
+    texts += [chr(o) for o in range(0x80, 0x3200)] + [chr(o) for o in range(0xF900, 0x10000)]
+    need = {t for t in texts if X.fold(t)[1] or X.fold(t)[0] != t or X.mixed_tokens(t)}
+    assert set(texts[:7]) <= need
+    got = spark.createDataFrame([(t,) for t in texts], "t string").filter(X.suspect(F.col("t"))).collect()
+    assert need <= {r.t for r in got}

@@ -29,12 +29,18 @@ _HYPHENS = {0x2010: "-", 0x2011: "-", 0x2043: "-", 0xFE63: "-", 0xFF0D: "-"}
 _CJK = re.compile(r"[、-ヿ㐀-鿿！-｠]")
 _FULL_PUNCT = set("！＂＃＄％＆＇（）＊＋，－．／：；＜＝＞？＠［＼］＾＿｀｛｜｝～｡｢｣､･￥")
 
-#: Java patterns of which every value that needs work matches one: an unusual character, or a letter of another script beside a Latin one.
+#: Java patterns of which every value that needs work matches one: an unusual character, a compatibility character of the
+#: ordinary ranges, or a letter of another script beside a Latin one or parted from it by Japanese or Chinese letters only.
 ODD = (
     r"[^\x{20}-\x{7e}\x{c0}-\x{17f}\x{370}-\x{52f}\x{2013}\x{2014}\x{2018}-\x{201e}"
     r"\x{3001}-\x{3011}\x{3041}-\x{3096}\x{309d}-\x{30fe}\x{4e00}-\x{9fff}]"
+    r"|[\x{132}-\x{133}\x{13f}-\x{140}\x{149}\x{17f}\x{374}\x{37a}\x{37e}\x{384}-\x{385}\x{387}\x{3d0}-\x{3d6}\x{3f0}-\x{3f2}\x{3f4}-\x{3f5}\x{3f9}\x{309f}]"
+)
+_BETWEEN = r"[\x{3001}-\x{30fe}\x{4e00}-\x{9fff}]*"
+BESIDE = (
+    r"[A-Za-z\x{c0}-\x{24f}]" + _BETWEEN + r"[\x{391}-\x{3b1}\x{3b5}-\x{51d}]"
+    r"|[\x{391}-\x{3b1}\x{3b5}-\x{51d}]" + _BETWEEN + r"[A-Za-z\x{c0}-\x{24f}]"
 )
-BESIDE = r"[A-Za-z][\x{391}-\x{3b1}\x{3b5}-\x{51d}]|[\x{391}-\x{3b1}\x{3b5}-\x{51d}][A-Za-z]"
 
 
 def suspect(c: Column) -> Column:
