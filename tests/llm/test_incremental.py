@@ -102,3 +102,9 @@ def recall(spark, pairs):
 
 def test_recall_of_clips_with_slips(spark):
     assert recall(spark, clipped_and_slipped(600, 1, 5, 0.3, 0.45)) > 0.9
+
+
+def test_all_rows_of_a_page_look_up(spark):
+    headline, page = "Vemax Bioprocess opens Lyon site to make Zentoltex", "http://a.example/p/1"
+    history = [(1, headline, "http://b.example/p/1"), (2, "What we know", page), (3, headline, page)]
+    assert found(spark, history, [(1001, "Something else about Morvex", page)]) == {(1, 1001)}

@@ -305,11 +305,11 @@ class Index:
         both = both.filter((shorter <= 4) | (3 * F.size(F.array_intersect("wa", "wb")) >= 2 * shorter))
         by_title = both.mapInPandas(_verifier(self.sketch), "a long, b long")
         pages = self.heads().select("id", "page").filter("page is not null")
-        qp = stored(pages.join(mine, "id", "left_semi").select("page", F.col("id").alias("q")).distinct(), "lookups")
-        # one partner a page is enough to connect all its rows
-        wanted = small_side(stored(qp.select("page").distinct(), "lookups"))
-        least = pages.join(wanted, "page", "left_semi").groupBy("page").agg(F.min("id").alias("a"))
-        by_page = qp.join(least, "page").filter("a <> q").select("a", F.col("q").alias("b"))
+        wanted = small_side(stored(pages.join(mine, "id", "left_semi").select("page").distinct(), "lookups"))
+        # all rows of a reached page are tied to its least row, so that each of them looks up its own headline
+        on_page = stored(pages.join(wanted, "page", "left_semi").distinct(), "pages")
+        least = on_page.groupBy("page").agg(F.min("id").alias("a"))
+        by_page = on_page.join(least, "page").filter("a <> id").select("a", F.col("id").alias("b"))
         return stored(by_title.unionByName(by_page).distinct(), "ties")
 
 
