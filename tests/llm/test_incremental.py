@@ -108,3 +108,9 @@ def test_all_rows_of_a_page_look_up(spark):
     headline, page = "Vemax Bioprocess opens Lyon site to make Zentoltex", "http://a.example/p/1"
     history = [(1, headline, "http://b.example/p/1"), (2, "What we know", page), (3, headline, page)]
     assert found(spark, history, [(1001, "Something else about Morvex", page)]) == {(1, 1001)}
+
+
+def test_two_slips_in_five_words(spark):
+    a, b = "Acme Labs recalls Zentoltex lots", "Acme Labs recals Zentoltex lotss"
+    assert I.same_headline(a, b, lambda w: False)
+    assert found(spark, [(1, a, "http://a.example/p/1")], [(1001, b, "http://b.example/p/1")]) == {(1, 1001)}

@@ -300,9 +300,6 @@ class Index:
         ta = texts.select(F.col("id").alias("a"), F.col("head").alias("ha"), F.col("w").alias("wa"))
         tb = texts.select(F.col("id").alias("b"), F.col("head").alias("hb"), F.col("w").alias("wb"))
         both = pairs.join(ta, "a").join(tb, "b").filter("ha is not null and hb is not null")
-        # two thirds of the shorter headline must be in the other; very short ones go to the text check as they are
-        shorter = F.least(F.size(F.array_distinct("wa")), F.size(F.array_distinct("wb")))
-        both = both.filter((shorter <= 4) | (3 * F.size(F.array_intersect("wa", "wb")) >= 2 * shorter))
         by_title = both.mapInPandas(_verifier(self.sketch), "a long, b long")
         pages = self.heads().select("id", "page").filter("page is not null")
         wanted = small_side(stored(pages.join(mine, "id", "left_semi").select("page").distinct(), "lookups"))
