@@ -114,3 +114,11 @@ def test_two_slips_in_five_words(spark):
     a, b = "Acme Labs recalls Zentoltex lots", "Acme Labs recals Zentoltex lotss"
     assert I.same_headline(a, b, lambda w: False)
     assert found(spark, [(1, a, "http://a.example/p/1")], [(1001, b, "http://b.example/p/1")]) == {(1, 1001)}
+
+
+def test_bound_is_an_error(spark):
+    index = I.Index.build(spark.createDataFrame([(1, "a title", "http://a.example/p/1")], SCHEMA), "candidate_id", "title", "url")
+    batch = spark.createDataFrame([(2, "other", "http://a.example/p/1")], SCHEMA)
+    index.append(batch, "candidate_id", "title", "url")
+    with pytest.raises(RuntimeError):
+        I.repeats(index, batch.selectExpr("candidate_id as id"), rounds=1)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from tidemark.operators import references as R
 
 T = dt.datetime(2026, 1, 10)
@@ -34,3 +36,8 @@ def test_counts_and_empty(spark):
     assert n["items", "ids", "2026-01", "direct"] == 4
     empty = {k: v.limit(0) for k, v in t.items()}
     assert R.orphan_cascade(empty, REFS).count() == 0
+
+
+def test_bound_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        R.orphan_cascade(tables(spark), REFS, rounds=1)

@@ -317,10 +317,11 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def repeats(index: Index, batch_ids: DataFrame, rounds: int = 30) -> DataFrame:
+def repeats(index: Index, batch_ids: DataFrame, rounds: int = 1000) -> DataFrame:
     """(first_id, candidate_id): each row of batch_ids (id) whose item the index has under a lower id, with the item's least id.
 
-    The batch must have been appended. Matched rows look up in turn, until a round finds no row that hasn't.
+    The batch must have been appended. Matched rows look up in turn, until a round finds no row that hasn't;
+    rounds is a safety bound, beyond which an error is raised.
     """
     seen = stored(batch_ids.select("id").distinct(), "seen")
     frontier, edges = seen, None
@@ -332,6 +333,8 @@ def repeats(index: Index, batch_ids: DataFrame, rounds: int = 30) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = stored(seen.unionByName(frontier), "seen")
+    else:
+        raise RuntimeError(f"repeats: rows left to look up after {rounds} rounds")
     member = components(edges)
     return member.join(batch_ids.select("id").distinct(), "id").filter("root < id").select(F.col("root").alias("first_id"), F.col("id").alias("candidate_id"))
 

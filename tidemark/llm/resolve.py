@@ -77,7 +77,7 @@ def _profile(assigned: DataFrame) -> DataFrame:
     return assigned.select("root", "stem", "kind").distinct().join(u.drop("_k", "_k2"), "root")
 
 
-def resolve(companies: DataFrame, relations: DataFrame, rounds: int = 20) -> DataFrame:
+def resolve(companies: DataFrame, relations: DataFrame, rounds: int = 1000) -> DataFrame:
     """(rec, is_company, entity): the organisation each record names; records that name nobody or can't be told are left out.
 
     companies: id, display_name, aliases; relations: id, organization. Null, blank and placeholder names name nobody; null
@@ -151,6 +151,8 @@ def resolve(companies: DataFrame, relations: DataFrame, rounds: int = 20) -> Dat
             break
         assigned = stored(assigned.unionByName(joined.select(*assigned.columns)), "profiles")
         waiting = stored(waiting.join(joined.select("fid"), "fid", "left_anti"), "waiting")
+    else:
+        raise RuntimeError(f"resolve: profiles still grow after {rounds} rounds")
 
     # open forms that fit no profile at all: one slip apart and alike in all else
     prof = _keyed(_profile(assigned)).select("slip", F.col("stem").alias("ps"), F.col("kind").alias("pk"))

@@ -69,7 +69,7 @@ def direct_orphans(rows: DataFrame, target: DataFrame, ref: Reference) -> DataFr
     )
 
 
-def orphan_cascade(tables: dict[str, DataFrame], refs: list[Reference], rounds: int = 50) -> DataFrame:
+def orphan_cascade(tables: dict[str, DataFrame], refs: list[Reference], rounds: int = 1000) -> DataFrame:
     """All orphans of all references: direct ones, and those inherited because the named record is itself orphaned.
 
     Tables that some reference targets are iterated to the fixpoint; the others are children only and join its result
@@ -98,6 +98,8 @@ def orphan_cascade(tables: dict[str, DataFrame], refs: list[Reference], rounds:
             if new.isEmpty():
                 break
             frontier, bad = new, stored(bad.unionByName(new), "orphans")
+        else:
+            raise RuntimeError(f"orphan_cascade: orphans still found after {rounds} rounds")
     out = None
     for r in refs:
         lost = bad.filter(F.col("tbl") == r.target).select(F.col("key").alias("ref_id"), F.col("depth").alias("_d"))
