@@ -94,10 +94,38 @@ def test_sliced_counting_equals_direct():
     base = rnd.integers(0, 2**63, (40, 2), dtype=np.int64).view(np.uint64)
     b = base[rnd.integers(0, 40, 500)] ^ (np.uint64(1) << rnd.integers(0, 64, (500, 2), dtype=np.uint64))
     for radius in (0, 2, 4, 20, 63, 127, 128):
-        i, j = N.sliced_pairs(base, b, radius)
+        lo, hi = np.arange(40) * 3, 300 + np.arange(40) * 5
+        lo[7] = hi[7] = 9
+        got = [(i, j) for x in N.sliced_pairs(base, b, lo, hi, lambda i, last: np.full(len(i), radius)) for i, j in zip(*x)]
         d = np.bitwise_count(base[:, None, :] ^ b[None, :, :]).sum(axis=2)
-        wi, wj = np.nonzero(d <= radius)
-        assert sorted(zip(i, j)) == sorted(zip(wi, wj))
+        wi, wj = np.nonzero((d <= radius) & (np.arange(500) >= lo[:, None]) & (np.arange(500) < hi[:, None]))
+        assert sorted(got) == sorted(zip(wi, wj))
+
+
+@pytest.mark.parametrize("buffer", [50, 400_000])
+def test_blocks_longer_than_a_buffer(monkeypatch, buffer):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "BUFFER", buffer)
+    rnd = np.random.default_rng(4)
+    rows = 600
+    key = np.sort(rnd.choice([1, 2, 2, 2, 2, 2, 2, 3, 4, 5], rows))
+    n = rnd.integers(4, 40, rows).astype(np.int32)
+    order = np.lexsort((n, key))
+    key, n, part = key[order], n[order], rnd.integers(1, 4, rows).astype(np.int8)
+    ids = rnd.permutation(rows)
+    s = rnd.integers(0, 2**63, (3, 2), dtype=np.int64)[rnd.integers(0, 3, rows)] ^ (1 << rnd.integers(0, 60, (rows, 2)))
+    names = ["key", "salt", "id", "n", "s1", "s2", "part"]
+    cols = [key, np.zeros(rows, np.int32), ids, n, s[:, 0], s[:, 1], part]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 40]) for c in cols], names=names) for k in range(0, rows, 40)]
+    got = {tuple(p) for b in N._pairs(0.75)(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    want = set()
+    for i in range(rows):
+        for j in range(rows):
+            d = sum(int(x ^ y).bit_count() for x, y in zip(s[i].tolist(), s[j].tolist()))
+            if i != j and key[i] == key[j] and part[i] & 1 and part[j] & 2 and n[i] <= n[j] and 4 * n[i] >= 3 * n[j] and 7 * d <= int(n[i]) + int(n[j]):
+                want.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    assert got == want and len(want) > 100
 
 
 def test_parity_never_exceeds_difference():

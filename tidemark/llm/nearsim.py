@@ -9,10 +9,11 @@ Exact, in five steps.
    other row and is skipped; one more frequent than `widest` is replaced by its pairs with each possible next common token.
    Keys whose block may still be too wide are salted: the larger sides are spread, the smaller sides replicated.
 3. Within a block rows are compared by a 128-bit parity sketch (each token flips one bit): its Hamming distance is never
-   more than the number of tokens in just one of the rows, which t bounds by (1-t)/(1+t) (|x|+|y|). Wide blocks are
-   compared bit-sliced: the bit planes of 64 rows lie in one word, carry-save counters add plane after plane for many
-   rows at once, and words in which every row has passed the radius are abandoned. Blocks narrower than a word have
-   nothing to slice and count bits directly.
+   more than the number of tokens in just one of the rows, which t bounds by (1-t)/(1+t) (|x|+|y|). All blocks are compared
+   bit-sliced: the bit planes of 64 consecutive rows lie in one word, whatever block they belong to, and a row is compared
+   with the words that its block spans, the lanes of other blocks and of sizes no tie allows being masked; carry-save
+   counters add plane after plane for many (row, word) at once, and words in which every lane has passed its radius are
+   abandoned. Rows stream by: a block too long for one buffer is compared buffer with buffer.
 4. The few pairs left are verified on the tokens themselves.
 5. Ties by text and by page are joined to groups by connected components.
 """
@@ -28,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import sketch as S
+from tidemark.llm import words as W
 from tidemark.llm.pages import page_key_column
-from tidemark.llm.text import comparable_column, word_hashes
+from tidemark.llm.text import comparable_column
 from tidemark.operators.components import components
 from tidemark.session import drop_stored, small_side, stored
 
 BITS = 128
 PLANE_STEP = 8
-#: Blocks with at least so many pairs are compared bit-sliced.
-SLICED = 4096
+#: Block rows taken together, and (row, word) comparisons of one step.
+BUFFER, STEP = 400_000, 1 << 15
 
 
 def tokens(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +65,24 @@ def parity(h: np.ndarray, r: np.ndarray, n_rows: int) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(n_rows, BITS // 64)
 
 
-def with_tokens(rows: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(id, w, page text columns dropped): word hashes of title plus summary; an empty array where the summary is null or blank."""
-    clean = F.concat_ws(" ", comparable_column(F.col(title)), comparable_column(F.col(summary)))
+def _text(title: str, summary: str):
+    """Title plus summary in their comparable form; null where the summary is null or blank."""
     has = F.trim(F.coalesce(F.col(summary), F.lit(""))) != ""
-    return rows.select(F.col(key).cast("long").alias("id"), word_hashes(F.when(has, clean)).alias("w"))
+    return F.when(has, F.concat_ws(" ", comparable_column(F.col(title)), comparable_column(F.col(summary))))
+
+
+def with_text(rows: DataFrame, key: str, title: str, summary: str) -> DataFrame:
+    """(id, text) of rows."""
+    return rows.select(F.col(key).cast("long").alias("id"), _text(title, summary).alias("text"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, page, w): rows (id, page, two content hashes), and partial frequency counts."""
+    """Of (id, page, text): rows (id, page, two content hashes), and partial frequency counts."""
     held: list[np.ndarray] = []
     size = 0
     names = ["id", "page", "c1", "c2", "range", "slots", "counts"]
     for b in batches:
-        v, n = S.flatten(b.column("w"))
+        v, n = W.hashed(b.column("text"))
         h, r = tokens(v, n)
         with np.errstate(over="ignore"):
             c1, c2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -105,8 +111,8 @@ def _counts(held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, none, none, none, *p.columns], names=names)
 
 
-def _keys(sketch, t: float, widest: int, salt_most: int):
-    """A mapInArrow function: (id, w) to block rows (key, salt, id, n, s1, s2, part); part 1: may be the smaller side, 2: the larger, 3: both."""
+def _keys(sketch, t: float, widest: int):
+    """A mapInArrow function: (id, text) to block rows (key, salt, id, n, s1, s2, part); part 1: may be the smaller side, 2: the larger, 3: both."""
     exact = Fraction(t).limit_denominator(1000)
     half = 2 * exact / (1 + exact)
     wide = S.level(np.array([widest]))[0]
@@ -114,7 +120,7 @@ def _keys(sketch, t: float, widest: int, salt_most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         for b in batches:
-            v, n = S.flatten(b.column("w"))
+            v, n = W.hashed(b.column("text"))
             h, r = tokens(v, n)
             ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(h):
@@ -147,7 +153,7 @@ def _keys(sketch, t: float, widest: int, salt_most: int):
                 small = (pos[a] < index[r[a]]) & (pos[c] < index[r[a]] + 1)
                 # expected width, as if tokens were independent to half
                 est = 2.0 ** ((q[a].astype(float) - 1) / 4) * np.minimum(1.0, 2.0 ** ((q[c].astype(float) - 1) / 4) / max(2.0 ** ((float(table.max()) - 1) / 4), 1.0)) ** 0.5
-                parts = np.clip(np.ceil(est / widest), 1, salt_most).astype(np.int64)
+                parts = np.maximum(np.ceil(est / widest), 1).astype(np.int64)
                 # larger side: one salt; smaller side: all of them
                 k.append(kk)
                 rr.append(r[a])
@@ -208,18 +214,15 @@ def _add_planes(counter: list[np.ndarray], x: list[np.ndarray]) -> None:
     _add(counter, eight, 3)
 
 
-def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose count is greater than radius."""
+def _beyond(counter: list[np.ndarray], radius: np.ndarray) -> np.ndarray:
+    """Lanes whose count is greater than the radius of their place."""
     gt = np.zeros_like(counter[0])
     eq = ~gt
     for k in range(len(counter) - 1, -1, -1):
-        if radius >> k & 1:
-            eq = eq & counter[k]
-        else:
-            gt |= eq & counter[k]
-            eq = eq & ~counter[k]
-    if radius >> len(counter):
-        return np.zeros_like(gt)
+        on = (np.uint64(0) - (radius >> np.uint64(k) & np.uint64(1))).astype(np.uint64)
+        gt |= eq & counter[k] & ~on
+        eq &= ~(counter[k] ^ on)
+    gt[radius >> np.uint64(len(counter)) > 0] = 0
     return gt
 
 
@@ -232,161 +235,188 @@ def planes(s: np.ndarray) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64)
 
 
-def sliced_pairs(sa: np.ndarray, sb: np.ndarray, radius: int, first_check: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of rows of sa and sb within the radius, by bit-sliced counting; words of 64 lanes all beyond it are abandoned."""
-    vertical = planes(sb)
-    words = vertical.shape[1]
-    ones = np.unpackbits(sa.view(np.uint8).reshape(len(sa), BITS // 8), axis=1, bitorder="little")
-    masks = np.where(ones == 1, ~np.uint64(0), np.uint64(0)).astype(np.uint64).T
-    out_i, out_j = [], []
-    chunk = max(1, 65536 // max(words, 1))
-    for lo in range(0, len(sa), chunk):
-        m = masks[:, lo : lo + chunk]
-        qi = np.repeat(np.arange(m.shape[1]), words)
-        wi = np.tile(np.arange(words), m.shape[1])
-        zero = np.zeros(len(qi), np.uint64)
-        counter = [zero, zero.copy(), zero.copy()]
-        for k in range(0, BITS, PLANE_STEP):
-            _add_planes(counter, [vertical[k + x][wi] ^ m[k + x][qi] for x in range(PLANE_STEP)])
-            done = k + PLANE_STEP
-            if done >= first_check and done % 16 == 0 and done < BITS:
-                alive = ~_beyond(counter, radius) != 0
-                if not alive.any():
-                    qi = qi[:0]
+def _lanes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Words with the bits low to high - 1 set, 0 <= low < high <= 64."""
+    return (~np.uint64(0) << low.astype(np.uint64)) & (~np.uint64(0) >> (64 - high).astype(np.uint64))
+
+
+def sliced_pairs(
+    q: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, radius, open_lanes: np.ndarray | None = None, first_check: int = 64
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of q and those of rows low[i] to high[i] - 1 within a radius, in parts, by bit-sliced counting.
+
+    radius(i, last): the greatest radius that a row i needs among rows up to last of one word. open_lanes: a plane of the rows to
+    compare with at all. Words in which all lanes are beyond it are abandoned.
+    """
+    vertical = planes(rows)
+    some = np.flatnonzero(high > low)
+    first, last = low[some] // 64, (high[some] - 1) // 64
+    for x, y in _spans(last - first + 1, STEP):
+        n_words = (last - first + 1)[x:y]
+        total = int(n_words.sum())
+        part_q = np.repeat(some[x:y], n_words)
+        part_w = np.arange(total) - np.repeat(np.cumsum(n_words) - n_words, n_words) + np.repeat(first[x:y], n_words)
+        # one row may span more words than a step holds
+        for z in range(0, total, STEP):
+            qi, wi = part_q[z : z + STEP], part_w[z : z + STEP]
+            top = np.minimum(high[qi] - wi * 64, 64)
+            mask = _lanes(np.maximum(low[qi] - wi * 64, 0), top)
+            if open_lanes is not None:
+                mask &= open_lanes[wi]
+            limit = radius(qi, wi * 64 + top - 1).astype(np.uint64)
+            keep = mask != 0
+            qi, wi, mask, limit = qi[keep], wi[keep], mask[keep], limit[keep]
+            zero = np.zeros(len(qi), np.uint64)
+            counter = [zero, zero.copy(), zero.copy()]
+            own = q[qi]
+            for k in range(0, BITS, PLANE_STEP):
+                if not len(qi):
                     break
-                if alive.mean() < 0.75:
-                    qi, wi, counter = qi[alive], wi[alive], [c[alive] for c in counter]
-        if not len(qi):
-            continue
-        near = ~_beyond(counter, radius)
-        hit = np.flatnonzero(near)
-        if len(hit):
-            lanes = np.unpackbits(near[hit].view(np.uint8).reshape(len(hit), 8), axis=1, bitorder="little")
-            w, lane = np.nonzero(lanes)
-            j = wi[hit[w]] * 64 + lane
-            ok = j < len(sb)
-            out_i.append(lo + qi[hit[w]][ok])
-            out_j.append(j[ok])
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_i), np.concatenate(out_j)
+                half = own[:, k // 64]
+                _add_planes(
+                    counter,
+                    [vertical[k + x][wi] ^ (np.uint64(0) - (half >> np.uint64((k + x) % 64) & np.uint64(1))) for x in range(PLANE_STEP)],
+                )
+                done = k + PLANE_STEP
+                if done >= first_check and done % 16 == 0 and done < BITS:
+                    alive = (~_beyond(counter, limit) & mask) != 0
+                    if alive.mean() < 0.75:
+                        qi, wi, mask, limit, own = qi[alive], wi[alive], mask[alive], limit[alive], own[alive]
+                        counter = [c[alive] for c in counter]
+            if not len(qi):
+                continue
+            near = ~_beyond(counter, limit) & mask
+            hit = np.flatnonzero(near)
+            if len(hit):
+                bits = np.unpackbits(near[hit].view(np.uint8).reshape(len(hit), 8), axis=1, bitorder="little")
+                w, lane = np.nonzero(bits)
+                yield qi[hit[w]], wi[hit[w]] * 64 + lane
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
+def _spans(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows whose sizes sum to about most."""
+    c = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        base = c[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(c, base + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+class _Rows:
+    """Block rows in the order of (key, salt, n)."""
+
+    def __init__(self, key, salt, ids, n, s, part):
+        self.key, self.salt, self.ids, self.n, self.s, self.part = key, salt, ids, n, s, part
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __getitem__(self, at) -> _Rows:
+        return _Rows(self.key[at], self.salt[at], self.ids[at], self.n[at], self.s[at], self.part[at])
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        col = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        return cls(col("key"), col("salt"), col("id"), col("n").astype(np.int64), np.stack([col("s1"), col("s2")], axis=1).view(np.uint64), col("part"))
+
+    @classmethod
+    def joined(cls, held: list[_Rows]) -> _Rows:
+        return held[0] if len(held) == 1 else cls(*[np.concatenate([getattr(h, c) for h in held]) for c in ("key", "salt", "ids", "n", "s", "part")])
+
+    def group(self) -> np.ndarray:
+        return np.cumsum(np.r_[False, (self.key[1:] != self.key[:-1]) | (self.salt[1:] != self.salt[:-1])])
+
+
 def _pairs(t: float):
-    """A mapInArrow function over block rows sorted by (key, salt): (a, b), a < b, within the radius."""
+    """A mapInArrow function over block rows sorted by (key, salt, n): (a, b), a < b, within the radius."""
     exact = Fraction(t).limit_denominator(1000)
+    up, down = exact.denominator, exact.numerator
     num, den = (1 - exact).numerator * (1 + exact).denominator, (1 - exact).denominator * (1 + exact).numerator
 
-    def within(i_ids, i_n, i_s, j_ids, j_n, j_s):
-        d = _distance(i_s, j_s)
-        ok = (d * den <= (i_n + j_n) * num) & (i_ids != j_ids) & ((i_n < j_n) | ((i_n == j_n) & (i_ids < j_ids)))
-        ok |= (d * den <= (i_n + j_n) * num) & (i_n == j_n) & (i_ids > j_ids)
-        ok &= i_n * exact.denominator >= j_n * exact.numerator
-        return ok
-
-    def blocks(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key, salt, ids, n, s1, s2, part = cols
-        s = np.stack([s1, s2], axis=1).view(np.uint64)
-        n = n.astype(np.int64)
-        new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
-        start = np.flatnonzero(new)
-        end = np.r_[start[1:], len(key)]
-        small_side_ = (part & 1) > 0
-        n_small = np.add.reduceat(small_side_.astype(np.int64), start)
-        n_large = np.add.reduceat(((part & 2) > 0).astype(np.int64), start)
-        work = n_small * n_large
-        oi, oj = [], []
-        narrow = np.flatnonzero((work > 0) & (end - start > 1) & (work < SLICED))
-        if len(narrow):
-            group = np.repeat(np.arange(len(start)), end - start)
-            is_narrow = np.zeros(len(start), bool)
-            is_narrow[narrow] = True
-            rows = np.flatnonzero(small_side_ & is_narrow[group])
-            size = (end - start)[group[rows]]
-            for lo, hi in _spans(size, 2_000_000):
-                i = np.repeat(rows[lo:hi], size[lo:hi])
-                c = np.cumsum(size[lo:hi])
-                j = np.arange(c[-1]) - np.repeat(c - size[lo:hi], size[lo:hi]) + start[group[i]]
-                keep = (part[j] & 2) > 0
-                i, j = i[keep], j[keep]
-                ok = within(ids[i], n[i], s[i], ids[j], n[j], s[j])
-                oi.append(ids[i[ok]])
-                oj.append(ids[j[ok]])
-        for g in np.flatnonzero(work >= SLICED):
-            at = np.arange(start[g], end[g])
-            a, b = at[small_side_[at]], at[(part[at] & 2) > 0]
-            a, b = a[np.argsort(n[a], kind="stable")], b[np.argsort(n[b], kind="stable")]
-            for x in range(0, len(a), 1024):
-                aa = a[x : x + 1024]
-                # only larger sides whose size a tie allows
-                lo = np.searchsorted(n[b], n[aa[0]])
-                hi = np.searchsorted(n[b], n[aa[-1]] * exact.denominator // exact.numerator, side="right")
-                bb = b[lo:hi]
-                for y in range(0, len(bb), 65536):
-                    by = bb[y : y + 65536]
-                    radius = int((n[aa[-1]] + n[by[-1]]) * num // den)
-                    i, j = sliced_pairs(s[aa], s[by], radius)
-                    i, j = aa[i], by[j]
-                    ok = within(ids[i], n[i], s[i], ids[j], n[j], s[j])
-                    oi.append(ids[i[ok]])
-                    oj.append(ids[j[ok]])
-        if not oi:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = np.concatenate(oi), np.concatenate(oj)
-        ab = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
-        return ab[:, 0], ab[:, 1]
-
-    names = ["key", "salt", "id", "n", "s1", "s2", "part"]
+    def compare(q: _Rows, q_group: np.ndarray, r: _Rows, r_group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Smaller sides of q against the larger sides of r in the same group, of at least their size."""
+        at = r_group << 32 | r.n
+        mine = np.flatnonzero((q.part & 1) > 0)
+        g, n = q_group[mine], q.n[mine]
+        low, high = np.searchsorted(at, g << 32 | n), np.searchsorted(at, g << 32 | n * up // down, side="right")
+        # a row alone in its range has no one to be compared with
+        wanted = high - low > (1 if q is r else 0)
+        mine, n, low, high = mine[wanted], n[wanted], low[wanted], high[wanted]
+        larger = np.zeros(-(-len(r) // 64) * 64, np.uint8)
+        larger[: len(r)] = (r.part & 2) > 0
+        larger = np.packbits(larger, bitorder="little").view(np.uint64)
+        s, ids = q.s[mine], q.ids[mine]
+        for i, j in sliced_pairs(s, r.s, low, high, lambda i, last: (n[i] + r.n[last]) * num // den, larger):
+            d = _distance(s[i], r.s[j])
+            ok = (d * den <= (n[i] + r.n[j]) * num) & (ids[i] != r.ids[j])
+            a, b = np.minimum(ids[i], r.ids[j])[ok], np.maximum(ids[i], r.ids[j])[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def within(x: _Rows) -> Iterator[pa.RecordBatch]:
+        g = x.group()
+        yield from compare(x, g, x, g)
+
+    def across(x: _Rows, y: _Rows) -> Iterator[pa.RecordBatch]:
+        gx, gy = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        yield from compare(x, gx, y, gy)
+        yield from compare(y, gy, x, gx)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[_Rows] = []
         size = 0
+        # earlier buffers of a block that goes on
+        open_block: list[_Rows] = []
 
-        def emit(cols):
-            a, b = blocks(cols)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def emit(x: _Rows, ended: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal open_block, held, size
+            held, size = [], 0
+            if open_block:
+                o = open_block[0]
+                ends = np.flatnonzero((x.key != o.key[0]) | (x.salt != o.salt[0]))
+                head = x[: ends[0]] if len(ends) else x
+                for o in open_block:
+                    yield from across(head, o)
+                if not len(ends):
+                    yield from within(x)
+                    open_block.append(x)
+                    return
+                yield from within(head)
+                open_block, x = [], x[ends[0] :]
+            if ended:
+                yield from within(x)
+                return
+            start = int(np.flatnonzero(np.r_[True, (x.key[1:] != x.key[:-1]) | (x.salt[1:] != x.salt[:-1])])[-1])
+            if start:
+                yield from within(x[:start])
+            rest = x[start:]
+            if len(rest) * 2 > BUFFER:
+                yield from within(rest)
+                open_block = [rest]
+            else:
+                held, size = [rest], len(rest)
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            if not len(cols[0]):
-                continue
-            held.append(cols)
-            size += len(cols[0])
-            if size < 400_000:
-                continue
-            whole = [np.concatenate(c) for c in zip(*held)]
-            cut = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
-            if not len(cut):
-                held = [whole]
-                continue
-            at = cut[-1] + 1
-            yield emit([c[:at] for c in whole])
-            held = [[c[at:] for c in whole]]
-            size = len(held[0][0])
+            if batch.num_rows:
+                held.append(_Rows.of(batch))
+                size += batch.num_rows
+                if size >= BUFFER:
+                    yield from emit(_Rows.joined(held), False)
         if held:
-            yield emit([np.concatenate(c) for c in zip(*held)])
+            yield from emit(_Rows.joined(held), True)
 
     return run
 
 
-def _spans(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of rows whose sizes sum to about most."""
-    c = np.cumsum(size)
-    lo = 0
-    while lo < len(size):
-        base = c[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(c, base + most, side="right")))
-        yield lo, hi
-        lo = hi
-
-
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        v, n = S.flatten(b.column("w"))
+        v, n = W.hashed(b.column("text"))
         h, r = tokens(v, n)
         offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
         arr = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
@@ -399,7 +429,7 @@ def star(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(least, key).filter("id <> a").select("a", F.col("id").alias("b"))
 
 
-def text_ties(rows: DataFrame, key: str, title: str, summary: str, t: float = 0.75, widest: int = 8192, salt_most: int = 64, scan: DataFrame | None = None) -> DataFrame:
+def text_ties(rows: DataFrame, key: str, title: str, summary: str, t: float = 0.75, widest: int = 8192, scan: DataFrame | None = None) -> DataFrame:
     """(a, b): enough ties by text to connect all rows whose word multisets overlap by t or more; exact, each tie verified."""
     spark = rows.sparkSession
     raw = rows.select(F.col(key).cast("long").alias("id"), F.col(title).alias("title"), F.col(summary).alias("summary"))
@@ -409,13 +439,13 @@ def text_ties(rows: DataFrame, key: str, title: str, summary: str, t: float = 0.
     sketch = spark.sparkContext.broadcast(table)
     copies = stored(star(scan.filter("c1 is not null").select("id", "c1", "c2"), ["c1", "c2"]).distinct(), "copies")
     only = raw.join(small_side(copies.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
-    keys = with_tokens(only, "id", "title", "summary").mapInArrow(_keys(sketch, t, widest, salt_most), KEY_SCHEMA)
-    blocks = keys.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    keys = with_text(only, "id", "title", "summary").mapInArrow(_keys(sketch, t, widest), KEY_SCHEMA)
+    blocks = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
     pairs = stored(blocks.mapInArrow(_pairs(t), "a long, b long").distinct(), "pairs")
     need = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
-    # joined before the words are taken, so that only the rows needed are read as words again
+    # joined before the words are taken, so that only the rows needed are taken apart again
     some = raw.join(small_side(need), "id", "left_semi")
-    texts = with_tokens(some, "id", "title", "summary").mapInArrow(_token_rows, "id long, t array<bigint>").dropDuplicates(["id"])
+    texts = with_text(some, "id", "title", "summary").mapInArrow(_token_rows, "id long, t array<bigint>").dropDuplicates(["id"])
     texts = stored(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b"
@@ -431,13 +461,11 @@ def text_ties(rows: DataFrame, key: str, title: str, summary: str, t: float = 0.
 
 def scanned(rows: DataFrame, key: str, url: str | None, title: str, summary: str) -> DataFrame:
     """One pass over the texts: content hashes and page hash per row, and the token frequencies in parts."""
-    clean = F.concat_ws(" ", comparable_column(F.col(title)), comparable_column(F.col(summary)))
-    has = F.trim(F.coalesce(F.col(summary), F.lit(""))) != ""
     page = page_key_column(F.col(url)) if url else F.lit(None).cast("string")
     r = rows.select(
         F.col(key).cast("long").alias("id"),
         F.when(page.isNotNull(), F.xxhash64(page)).alias("page"),
-        word_hashes(F.when(has, clean)).alias("w"),
+        _text(title, summary).alias("text"),
     )
     return stored(r.mapInArrow(_scan, "id long, page long, c1 long, c2 long, range int, slots binary, counts binary"), "scan")
 
