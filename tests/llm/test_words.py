@@ -3,7 +3,9 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.llm import text as X
 from tidemark.llm import words as W
 
 
@@ -29,3 +31,20 @@ def test_nothing_and_very_long():
     assert W.hashed(pa.array([], pa.string()))[1].tolist() == []
     assert W.hashed(pa.array([None, None], pa.string()))[1].tolist() == [0, 0]
     assert W.hashed(pa.array(["a " * 3_000_000, "漢" * 1_000_000]))[1].tolist() == [3_000_000, 1]
+
+
+def test_suspects_equal_the_column_form(spark):
+    rnd = random.Random(2)
+    chars = "ab Zé" + "оаβνо" + "カ漢" + "’–…" + "\u200b\u00a0" + "Ｆ𝒳" + ".,"
+    rows = [None, "", "plain"] + ["".join(rnd.choice(chars[: rnd.choice([5, 12, 14, len(chars)])]) for _ in range(rnd.randrange(9))) for _ in range(3000)]
+    rows += [chr(o) for o in range(0x80, 0x3200)] + [f"a{chr(o)}" for o in range(0x80, 0x600)]
+    got = W.suspects(pa.array(rows)).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert got == [r.s for r in df.orderBy("i").select(X.suspect(F.col("t")).alias("s")).collect()]
+    assert any(got) and not all(got)
+
+
+def test_comparables():
+    rows = [None, "Plain", "Ｆull", "сell", "“q”"]
+    assert [t and t.lower() for t in W.comparables(pa.array(rows)).to_pylist()] == [None, "plain", "full", "cell", "“q”"]
+    assert W.comparables(pa.array([None], pa.string())).to_pylist() == [None]

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import sketch as S
 from tidemark.llm import words as W
 from tidemark.llm.pages import page_key_column
-from tidemark.llm.text import comparable_column
 from tidemark.operators.components import components
 from tidemark.session import drop_stored, small_side, stored
 
@@ -65,24 +64,21 @@ def parity(h: np.ndarray, r: np.ndarray, n_rows: int) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(n_rows, BITS // 64)
 
 
-def _text(title: str, summary: str):
-    """Title plus summary in their comparable form; null where the summary is null or blank."""
-    has = F.trim(F.coalesce(F.col(summary), F.lit(""))) != ""
-    return F.when(has, F.concat_ws(" ", comparable_column(F.col(title)), comparable_column(F.col(summary))))
-
-
-def with_text(rows: DataFrame, key: str, title: str, summary: str) -> DataFrame:
-    """(id, text) of rows."""
-    return rows.select(F.col(key).cast("long").alias("id"), _text(title, summary).alias("text"))
+def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, words of each row) of title plus summary in their comparable form; no words where the summary is null or blank."""
+    title, summary = pa.compute.fill_null(b.column("title"), ""), b.column("summary")
+    has = pa.compute.fill_null(pa.compute.not_equal(pa.compute.utf8_trim(summary, " "), ""), False)
+    both = pa.compute.binary_join_element_wise(title, summary, " ")
+    return W.hashed(W.comparables(pa.compute.if_else(has, both, "")))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, page, text): rows (id, page, two content hashes), and partial frequency counts."""
+    """Of (id, page, title, summary): rows (id, page, two content hashes), and partial frequency counts."""
     held: list[np.ndarray] = []
     size = 0
     names = ["id", "page", "c1", "c2", "range", "slots", "counts"]
     for b in batches:
-        v, n = W.hashed(b.column("text"))
+        v, n = _words(b)
         h, r = tokens(v, n)
         with np.errstate(over="ignore"):
             c1, c2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -112,7 +108,7 @@ def _counts(held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 
 def _keys(sketch, t: float, widest: int):
-    """A mapInArrow function: (id, text) to block rows (key, salt, id, n, s1, s2, part); part 1: may be the smaller side, 2: the larger, 3: both."""
+    """A mapInArrow function: (id, title, summary) to block rows (key, salt, id, n, s1, s2, part); part 1: may be the smaller side, 2: the larger, 3: both."""
     exact = Fraction(t).limit_denominator(1000)
     half = 2 * exact / (1 + exact)
     wide = S.level(np.array([widest]))[0]
@@ -120,7 +116,7 @@ def _keys(sketch, t: float, widest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         for b in batches:
-            v, n = W.hashed(b.column("text"))
+            v, n = _words(b)
             h, r = tokens(v, n)
             ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(h):
@@ -416,7 +412,7 @@ def _pairs(t: float):
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        v, n = W.hashed(b.column("text"))
+        v, n = _words(b)
         h, r = tokens(v, n)
         offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
         arr = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
@@ -439,13 +435,13 @@ def text_ties(rows: DataFrame, key: str, title: str, summary: str, t: float = 0.
     sketch = spark.sparkContext.broadcast(table)
     copies = stored(star(scan.filter("c1 is not null").select("id", "c1", "c2"), ["c1", "c2"]).distinct(), "copies")
     only = raw.join(small_side(copies.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
-    keys = with_text(only, "id", "title", "summary").mapInArrow(_keys(sketch, t, widest), KEY_SCHEMA)
+    keys = only.mapInArrow(_keys(sketch, t, widest), KEY_SCHEMA)
     blocks = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
     pairs = stored(blocks.mapInArrow(_pairs(t), "a long, b long").distinct(), "pairs")
     need = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
     # joined before the words are taken, so that only the rows needed are taken apart again
     some = raw.join(small_side(need), "id", "left_semi")
-    texts = with_text(some, "id", "title", "summary").mapInArrow(_token_rows, "id long, t array<bigint>").dropDuplicates(["id"])
+    texts = some.mapInArrow(_token_rows, "id long, t array<bigint>").dropDuplicates(["id"])
     texts = stored(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b"
@@ -465,7 +461,8 @@ def scanned(rows: DataFrame, key: str, url: str | None, title: str, summary: str
     r = rows.select(
         F.col(key).cast("long").alias("id"),
         F.when(page.isNotNull(), F.xxhash64(page)).alias("page"),
-        _text(title, summary).alias("text"),
+        F.col(title).alias("title"),
+        F.col(summary).alias("summary"),
     )
     return stored(r.mapInArrow(_scan, "id long, page long, c1 long, c2 long, range int, slots binary, counts binary"), "scan")
 

@@ -36,11 +36,11 @@ ODD = (
     r"\x{3001}-\x{3011}\x{3041}-\x{3096}\x{309d}-\x{30fe}\x{4e00}-\x{9fff}]"
     r"|[\x{132}-\x{133}\x{13f}-\x{140}\x{149}\x{17f}\x{374}\x{37a}\x{37e}\x{384}-\x{385}\x{387}\x{3d0}-\x{3d6}\x{3f0}-\x{3f2}\x{3f4}-\x{3f5}\x{3f9}\x{309f}]"
 )
-_BETWEEN = r"[\x{3001}-\x{30fe}\x{4e00}-\x{9fff}]*"
-BESIDE = (
-    r"[A-Za-z\x{c0}-\x{24f}]" + _BETWEEN + r"[\x{391}-\x{3b1}\x{3b5}-\x{51d}]"
-    r"|[\x{391}-\x{3b1}\x{3b5}-\x{51d}]" + _BETWEEN + r"[A-Za-z\x{c0}-\x{24f}]"
-)
+#: What may lie between the two, and the two.
+BETWEEN = r"[\x{3001}-\x{30fe}\x{4e00}-\x{9fff}]"
+BESIDE_LATIN = r"[A-Za-z\x{c0}-\x{24f}]"
+BESIDE_FOREIGN = r"[\x{391}-\x{3b1}\x{3b5}-\x{51d}]"
+BESIDE = f"{BESIDE_LATIN}{BETWEEN}*{BESIDE_FOREIGN}|{BESIDE_FOREIGN}{BETWEEN}*{BESIDE_LATIN}"
 
 
 def suspect(c: Column) -> Column:
@@ -140,9 +140,14 @@ def squeeze(text: str) -> str:
     return _SPACES.sub(" ", text).strip()
 
 
+def consistent(text: str) -> str:
+    """text folded and repaired where certain, in its own case."""
+    return repair(fold(text)[0], set())
+
+
 def comparable(text: str) -> str:
     """The form in which texts are compared: folded, repaired where certain, in lower case."""
-    return repair(fold(text)[0], set()).lower()
+    return consistent(text).lower()
 
 
 @F.pandas_udf(T.StringType())

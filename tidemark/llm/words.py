@@ -1,4 +1,4 @@
-"""Words of Arrow string columns as 64-bit hashes, taken from the characters' buffer in whole-array steps.
+"""Words and characters of Arrow string columns, taken from the characters' buffer in whole-array steps.
 
 A word is a run of letters and digits; it is hashed in lower case. Its hash is a polynomial over the random codes of its
 characters modulo 2**64, read off prefix sums, so no word is ever a Python object and no pattern is run.
@@ -6,12 +6,14 @@ characters modulo 2**64, read off prefix sums, so no word is ever a Python objec
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 
 from tidemark.llm import sketch as S
+from tidemark.llm import text as X
 
 #: Bytes handled at once; a piece ends at a space or a row's end.
 PIECE = 1 << 20
@@ -63,17 +65,87 @@ def _points(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(cp, LAST), lead[starts]
 
 
+def _raw(col: pa.Array) -> tuple[np.ndarray, bytes]:
+    """(offsets, bytes) of a string array; a null is empty."""
+    if col.null_count:
+        col = pa.compute.fill_null(col, "")
+    kind_of = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    off = np.frombuffer(col.buffers()[1], kind_of)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return off, col.buffers()[2].to_pybytes()
+
+
+_classes: list[np.ndarray] = []
+
+
+def _class() -> tuple[np.ndarray, np.ndarray]:
+    """(unusual, part) by code point, after the patterns of text.suspect(); part: 1 Latin letter, 2 look-alike script, 0 what may lie between, else 3."""
+    if not _classes:
+        every = "".join(chr(o) if not 0xD800 <= o < 0xE000 else " " for o in range(LAST))
+        found = lambda p: [m.start() for m in re.finditer(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", p), every)]
+        odd = np.ones(LAST + 1, bool)
+        odd[:LAST] = False
+        odd[found(X.ODD)] = True
+        part = np.full(LAST + 1, 3, np.uint8)
+        part[found(X.BESIDE_LATIN)] = 1
+        part[found(X.BESIDE_FOREIGN)] = 2
+        part[found(X.BETWEEN)] = 0
+        _classes.extend([odd, part])
+    return _classes[0], _classes[1]
+
+
+def suspects(col: pa.Array) -> np.ndarray:
+    """text.suspect() of each row, false for null; rows of ASCII alone are never touched."""
+    n = len(col)
+    out = np.zeros(n, bool)
+    if not n or col.null_count == n or col.buffers()[2] is None:
+        return out
+    off, raw = _raw(col)
+    lo, hi = int(off[0]), int(off[-1])
+    high = np.frombuffer(raw, np.uint8)[lo:hi] >= 0x80
+    if not high.any():
+        return out
+    # rows with a byte beyond ASCII
+    many = np.r_[0, np.cumsum(high)]
+    rows = np.flatnonzero(many[off[1:] - lo] > many[off[:-1] - lo])
+    odd, part = _class()
+    for x in range(0, len(rows), 4096):
+        some = rows[x : x + 4096]
+        texts = [raw[off[r] : off[r + 1]].decode("utf-8", "replace") for r in some]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        cp = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), LAST)
+        row = np.repeat(np.arange(len(some)), size)
+        hit = np.zeros(len(some), bool)
+        hit[row[odd[cp]]] = True
+        kind = part[cp]
+        at = np.flatnonzero(kind)
+        k, r = kind[at], row[at]
+        pair = (r[1:] == r[:-1]) & (((k[1:] == 1) & (k[:-1] == 2)) | ((k[1:] == 2) & (k[:-1] == 1)))
+        hit[r[1:][pair]] = True
+        out[some[hit]] = True
+    return out
+
+
+def comparables(col: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """text.consistent() of each row, as hashed() ignores case; only suspects become Python objects. Null stays null."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    mask = suspects(col)
+    if not mask.any():
+        return col
+    mask = pa.array(mask)
+    fixed = pa.array([X.consistent(t) for t in col.filter(mask).to_pylist()], col.type)
+    return pa.compute.replace_with_mask(col, mask, fixed)
+
+
 def hashed(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all rows one after another, number of words of each row); a null has none."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
     counts = np.zeros(n, np.int64)
-    if not n or col.buffers()[2] is None:
+    if not n or col.null_count == n or col.buffers()[2] is None:
         return np.zeros(0, np.uint64), counts
-    kind_of = np.int64 if pa.types.is_large_string(col.type) else np.int32
-    off = np.frombuffer(col.buffers()[1], kind_of)[col.offset : col.offset + n + 1].astype(np.int64)
-    raw = col.buffers()[2].to_pybytes()
+    off, raw = _raw(col)
     letter, code = _lookup()
     out = []
     lo, total = int(off[0]), int(off[-1])
