@@ -51,17 +51,44 @@ def test_empty(spark):
     assert found(spark, [], [(1, "Acme joins Vemax on Zentol", "http://a.example/p/1"), (2, "other", "https://a.example/p/1/")]) == {(1, 2)}
 
 
-def test_batch_by_batch_equals_all_at_once(spark):
+def test_batch_by_batch_equals_all_at_once(spark, tmp_path):
     h = spark.createDataFrame([(k, f"Regulator clears Prod{k}x from Firm{k}y after data", f"http://f.example/p/{k}") for k in range(50)], SCHEMA)
     rows = [(1000 + k, f"Exclusive: Regulator clears Prod{k % 70}x from Firm{k % 70}y after data", f"http://n.example/p/{k}") for k in range(0, 120, 3)]
     batches = [spark.createDataFrame(rows[:20], SCHEMA), spark.createDataFrame(rows[20:], SCHEMA)]
-    index = I.Index.build(h, "candidate_id", "title", "url")
-    got = set()
-    for b in batches:
-        index.append(b, "candidate_id", "title", "url")
-        got |= {tuple(r) for r in I.repeats(index, b.selectExpr("candidate_id as id")).collect()}
+    index = I.Index.build(h, "candidate_id", "title", "url", path=f"file://{tmp_path}/index", buckets=3)
+    got = {tuple(r) for r in I.repeats(index, index.append(batches[0], "candidate_id", "title", "url")).collect()}
+    index.close()
+    # another session takes the index up where it was left
+    index = I.Index.open(spark, f"file://{tmp_path}/index")
+    got |= {tuple(r) for r in I.repeats(index, index.append(batches[1], "candidate_id", "title", "url")).collect()}
     once = {tuple(r) for r in I.batch_repeats(h, batches[0].unionByName(batches[1])).collect()}
     assert got == once and len(got) > 20
+    assert len(index.parts) == 3 and index.buckets == 3
+    index.close()
+
+
+def test_look_ups_leave_the_index_where_it_is(spark, monkeypatch):
+    monkeypatch.setattr(I, "FEW_KEYS", 0)
+    monkeypatch.setattr(I, "small_side", lambda df: df)
+    rows = [(k, f"Regulator clears Prod{k}x from Firm{k}y after data", None) for k in range(200)]
+    index = I.Index.build(spark.createDataFrame(rows, SCHEMA), "candidate_id", "title", "url", buckets=3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.hits(index.parts[0]["heads"].limit(5).select("h", "w"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning(key") <= 1 and "Bucketed: true" in plan
+
+
+def test_radius_decides_what_is_compared(spark):
+    pairs = clipped_and_slipped(200, 1, 5, 0.3, 0.45)
+    index = I.Index.build(spark.createDataFrame([(k, t, None) for k, (t, _) in enumerate(pairs)], SCHEMA), "candidate_id", "title", "url")
+    rows = index.append(spark.createDataFrame([(10_000 + k, c, None) for k, (_, c) in enumerate(pairs)], SCHEMA), "candidate_id", "title", "url")
+    mine = index.parts[1]["heads"].select("h", "w")
+    n = index.hits(mine).groupBy("equal").count().collect()
+    beyond = sum(r["count"] for r in n if I.BLOCKS - r["equal"] > I.RADIUS)
+    assert 0 < beyond and beyond > 0.3 * sum(r["count"] for r in n) and rows.count() == 200
 
 
 TEMPLATES = (
@@ -94,8 +121,12 @@ def recall(spark, pairs):
     want = {(k, 10_000 + k) for k, (t, c) in enumerate(pairs) if I.same_headline(t, c, lambda w: lower[w] >= 3)}
     index = I.Index.build(spark.createDataFrame([(k, t, None) for k, (t, _) in enumerate(pairs)], SCHEMA), "candidate_id", "title", "url")
     copies = spark.createDataFrame([(10_000 + k, c, None) for k, (_, c) in enumerate(pairs)], SCHEMA)
-    index.append(copies, "candidate_id", "title", "url")
-    got = {tuple(r) for r in index.ties(copies.selectExpr("candidate_id as id")).collect()}
+    rows = index.append(copies, "candidate_id", "title", "url")
+    ids = {r.h: set() for p in index.parts for r in p["heads"].collect()}
+    for r in I.prepared(spark.createDataFrame([(k, t, None) for k, (t, _) in enumerate(pairs)], SCHEMA).unionByName(copies), "candidate_id", "title", "url").collect():
+        ids[r.h].add(r.id)
+    got = {(a, b) for r in index.ties(rows.select("h").distinct()).collect() for x in ids[r.a] for y in ids[r.b] for a, b in [(min(x, y), max(x, y))]}
+    got |= {(a, b) for s in ids.values() for a in s for b in s if a < b}
     assert len(want) > 20
     return len(want & got) / len(want)
 
@@ -119,6 +150,6 @@ def test_two_slips_in_five_words(spark):
 def test_bound_is_an_error(spark):
     index = I.Index.build(spark.createDataFrame([(1, "a title", "http://a.example/p/1")], SCHEMA), "candidate_id", "title", "url")
     batch = spark.createDataFrame([(2, "other", "http://a.example/p/1")], SCHEMA)
-    index.append(batch, "candidate_id", "title", "url")
+    rows = index.append(batch, "candidate_id", "title", "url")
     with pytest.raises(RuntimeError):
-        I.repeats(index, batch.selectExpr("candidate_id as id"), rounds=1)
+        I.repeats(index, rows, rounds=1)

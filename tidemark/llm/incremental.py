@@ -1,40 +1,49 @@
-"""New batches against everything accepted: block index, lookups that follow the batch, append.
-
-A title's fingerprint has BLOCKS blocks. Each block is the minimum, over the title's words, of a random value weighted by
-rarity, so titles that share their rare words (names, codes, numbers) share blocks, and a frequent word almost never fills
-one. The index keeps one row per block in block tables (block number and value as key), plus one per page key. A batch
-looks up its own blocks only; every hit goes to the check of the titles' text, as one whole block is all that an edited
-title may keep. Matched history rows look up their own blocks in turn until nothing new is found, so that an item's
-first record is reached through any chain, at a cost that follows the batch. Then the batch is appended.
-
-The index side of a lookup is never shuffled while the batch's keys are small enough to broadcast (their size is
-checked); beyond that it is a shuffle join. Block values shared by very many rows are frequent words; the weighting makes
-them rare as keys, and no block is capped.
+"""New batches against everything accepted: an index on disk, look-ups that follow the batch, append.
+
+A headline's fingerprint has BLOCKS blocks of bits. A block is the hash of one word of the headline, drawn by a weighted
+minimum (rare words weigh more), so headlines that share much of their weight agree in many blocks and differ by random
+bits in the others. The index holds the fingerprints in BLOCKS block tables, table k with the fingerprint rotated so that
+its block k leads: the table's number and that block are the key. A batch looks up the exact blocks of its own headlines;
+each table in which two headlines meet is a block without a bit of difference, so the number of blocks that differ - the
+Hamming distance over blocks - is counted from the hits. Pairs within RADIUS go to the comparison of their texts, then the
+batch is appended. Matched headlines look up in turn until nothing new is found, so that an item's first record is
+reached through any chain.
+
+Nodes of that search are distinct headlines and pages, not rows: copies of one headline or page are one key, pre-aggregated
+with their least id, however many they are. Block and headline tables are bucketed by their key, so a look-up shuffles the
+batch's keys but never the index; few keys read only their own buckets. Everything lies in one folder: a part per append,
+a log that names the complete parts, and the word weights of the first part; open() takes it up in another session.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import sketch as S
 from tidemark.llm.pages import page_key_column
-from tidemark.llm.text import NOT_WORD, fold, repair, suspect
+from tidemark.llm.text import NOT_WORD, consistent, suspect
 from tidemark.operators.components import components
-from tidemark.session import drop_stored, small_side, stored
+from tidemark.session import drop_stored, shared_dir, small_side, stored
 
-BLOCKS = 16
+BLOCKS = 24
+#: Blocks that may differ: at least two of all must be equal.
+RADIUS = BLOCKS - 2
 #: Words no more frequent than this weigh alike, so that a typing slip does not outweigh a name.
 RARE = 4
-LOWER = np.uint64(0x5851F42D4C957F2D)
+#: A word written in lower case at least so often is an ordinary one.
+ORDINARY = 3
+#: Rows of a block table a bucket, and the number of keys up to which only their buckets are read.
+BUCKET_ROWS, FEW_KEYS = 4_000_000, 1000
 
 # Labels set before a headline.
 LABEL_WORDS = ("news", "exclusive", "update", "updated", "breaking", "corrected", "correction", "live", "alert")
@@ -48,70 +57,75 @@ TURNED = r"^\s*[|–—-]\s+\p{Lu}\S*\s+\p{Lu}\S*\s+(?=\p{Lu})"
 
 @F.pandas_udf(T.StringType())
 def _cased(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else repair(fold(x)[0], set()))
+    return s.map(lambda x: None if x is None else consistent(x))
 
 
 def headline(title: Column) -> Column:
     """The headline itself: characters made consistent, labels and publisher cut off, codes written together; case kept."""
     c = F.coalesce(_cased(F.when(suspect(title), title)), title)
     c = F.regexp_replace(c, "(?i)" + LABELS, "")
-    c = F.regexp_replace(F.regexp_replace(c, PUBLISHER, ""), TURNED, "")
-    return F.trim(F.regexp_replace(c, r"(?<=\b[A-Za-z]{1,6})[-‐](?=\d)", ""))
+    parted = c.contains("- ") | c.contains("| ") | (F.octet_length(c) > F.char_length(c))
+    c = F.when(parted, F.regexp_replace(F.regexp_replace(c, PUBLISHER, ""), TURNED, "")).otherwise(c)
+    joined = F.regexp_replace(c, r"(?<=\b[A-Za-z]{1,6})[-‐](?=\d)", "")
+    return F.trim(F.when(c.contains("-") | c.contains("‐"), joined).otherwise(c))
 
 
 def _words(c: Column) -> Column:
     """Words of a headline; runs of katakana, kanji and hiragana are words of their own."""
     spaced = F.regexp_replace(c, r"([\p{IsKatakana}ー]+|\p{IsHan}+|\p{IsHiragana}+)", " $1 ")
-    return F.filter(F.split(spaced, NOT_WORD), lambda w: w != "")
+    return F.filter(F.split(F.when(F.octet_length(c) > F.char_length(c), spaced).otherwise(c), NOT_WORD), lambda w: w != "")
 
 
 def prepared(rows: DataFrame, key: str, title: str, url: str) -> DataFrame:
-    """(id, head, w, low, page): headline, hashes of its words in lower case, whether each begins in lower case, page hash. One row per id."""
+    """(id, h, head, w, low, p): hash of the headline, the headline, hashes of its words in lower case, those of words that begin in lower case, page hash.
+
+    h and p are null for a headline without words and for no page.
+    """
     head = headline(F.col(title))
-    r = rows.select(F.col(key).cast("long").alias("id"), head.alias("head"), page_key_column(F.col(url)).alias("p"))
-    r = r.filter("id is not null")
-    words = F.coalesce(_words(F.col("head")), F.array().cast("array<string>"))
+    r = rows.select(F.col(key).cast("long").alias("id"), head.alias("head"), page_key_column(F.col(url)).alias("page"))
+    r = r.filter("id is not null").withColumn("words", F.coalesce(_words(F.col("head")), F.array().cast("array<string>")))
+    first = lambda w: F.substring(w, 1, 1)
+    small = F.filter("words", lambda w: (first(w) == F.lower(first(w))) & (first(w) != F.upper(first(w))))
     return r.select(
-        "id", "head",
-        F.transform(words, lambda w: F.xxhash64(F.lower(w))).alias("w"),
-        F.transform(words, lambda w: w.rlike(r"^\p{Ll}")).alias("low"),
-        F.when(F.col("p").isNotNull(), F.xxhash64("p")).alias("page"),
-    )
+        "id",
+        F.when(F.size("words") > 0, F.xxhash64("head")).alias("h"),
+        "head",
+        F.transform("words", lambda w: F.xxhash64(F.lower(w))).alias("w"),
+        F.transform(small, lambda w: F.xxhash64(w)).alias("low"),
+        F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("page"), "page")).alias("p"),
+    )
 
 
 def _slot_tokens(b: pa.RecordBatch) -> np.ndarray:
-    v, _ = S.flatten(b.column("w"))
-    low = b.column("low").flatten().to_numpy(zero_copy_only=False).astype(bool)
-    return np.concatenate([v, S.mix(v[low] ^ LOWER)])
+    return S.flatten(b.column("w"))[0]
 
 
 def _blocks(sketch):
-    """A mapInArrow function: (id, w) to (key, id), a row per block."""
+    """A mapInArrow function: (h, w) to (key, h), a row per block: the number of the table and the block that leads there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         for b in batches:
             v, n = S.flatten(b.column("w"))
-            ids = b.column("id").to_numpy(zero_copy_only=False)[n > 0]
+            ids = b.column("h").to_numpy(zero_copy_only=False)[n > 0]
             n = n[n > 0]
             if not len(n):
                 continue
             start = np.r_[0, np.cumsum(n)[:-1]]
-            count = 2.0 ** ((np.maximum(table[S.slots(v)], 1).astype(float) - 1) / 4)
+            row = np.repeat(np.arange(len(n)), n)
+            word, at_word = np.unique(v, return_inverse=True)
+            count = 2.0 ** ((np.maximum(table[S.slots(word)], 1).astype(float) - 1) / 4)
             count = np.maximum(count, RARE)
             keys = []
-            row = np.repeat(np.arange(len(n)), n)
             for k in range(BLOCKS):
                 with np.errstate(over="ignore"):
-                    x = S.mix(v + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+                    x = S.mix(word + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
                 u = ((x >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-                cost = -np.log(u) * count
-                least = np.minimum.reduceat(cost, start)
-                at = np.flatnonzero(cost == least[row])
+                cost = (-np.log(u) * count)[at_word]
+                at = np.flatnonzero(cost == np.minimum.reduceat(cost, start)[row])
                 first = at[np.r_[True, row[at][1:] != row[at][:-1]]]
-                with np.errstate(over="ignore"):
-                    keys.append(S.mix(x[first] ^ np.uint64(k * 0x51ED27)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BLOCKS))], names=["key", "id"])
+                keys.append((x[at_word[first]] >> np.uint64(8)) | np.uint64(k) << np.uint64(56))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BLOCKS))], names=["key", "h"])
 
     return run
 
@@ -229,114 +243,181 @@ def _before_clip(words: list[str], left: Counter, other: Counter) -> Counter:
     return +out
 
 
-def _verifier(sketch, least_lower: int = 3):
-    table = sketch
-    limit = S.level(np.array([least_lower]))[0]
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tab = table.value
-        cache: dict[str, bool] = {}
-        for b in batches:
-            lows = {}
-            for ws, hs in ((b["wa"], b["ha"]), (b["wb"], b["hb"])):
-                for head, hashes in zip(hs, ws):
-                    parts = [w.lower() for w in _SPLIT.findall(head)]
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keep = []
+        for x, y, wx, wy, ox, oy in zip(b["ha"], b["hb"], b["wa"], b["wb"], b["oa"], b["ob"]):
+            usual: set[str] = set()
+            for head, hashes, known in ((x, wx, ox), (y, wy, oy)):
+                if len(known):
+                    parts, known = _SPLIT.findall(head), set(known)
                     if len(parts) == len(hashes):
-                        lows.update(zip(parts, hashes))
-            new = [w for w in lows if w not in cache]
-            if new:
-                h = np.array([lows[w] for w in new], np.int64).view(np.uint64)
-                ok = tab[S.slots(S.mix(h ^ LOWER))] >= limit
-                if len(cache) > 200_000:
-                    cache.clear()
-                cache.update(zip(new, ok.tolist()))
-            known = {w: cache.get(w, False) for w in lows}
-            keep = [same_headline(x, y, lambda w: known.get(w, False)) for x, y in zip(b["ha"], b["hb"])]
-            yield b.loc[keep, ["a", "b"]]
+                        usual.update(w.lower() for w, h in zip(parts, hashes) if h in known)
+            keep.append(same_headline(x, y, usual.__contains__))
+        yield b.loc[keep, ["a", "b"]]
 
-    return verify
+
+#: Columns of a part's tables and the key of its bucketed ones.
+TABLES = {
+    "heads": ("h bigint, head string, w array<bigint>", "h"),
+    "blocks": ("key bigint, h bigint", "key"),
+    "links": ("h bigint, p bigint, least bigint", None),
+    "words": ("word bigint, n bigint", None),
+}
 
 
 class Index:
-    """Block tables, page table and headlines of all accepted rows, with the word sketch that the fingerprints use.
+    """Fingerprint tables, headlines, links of headlines with pages, and word counts of all accepted rows, in one folder.
 
-    The sketch is taken when the index is built and kept: fingerprints of later rows must be made by the same weights.
+    The weights of words are taken when the index is built and kept: fingerprints of later rows must be made by the same.
     """
 
-    def __init__(self, spark, sketch: np.ndarray):
+    def __init__(self, spark: SparkSession, path: str, buckets: int, sketch: np.ndarray):
+        self.spark, self.path, self.buckets = spark, path, buckets
         self.sketch = spark.sparkContext.broadcast(sketch)
-        self.parts: list[tuple[DataFrame, DataFrame]] = []
+        self.parts: list[dict[str, DataFrame]] = []
+        self._names: list[str] = []
 
     @classmethod
-    def build(cls, rows: DataFrame, key: str, title: str, url: str) -> Index:
-        prep = stored(prepared(rows, key, title, url), "heads")
-        partials = stored(prep.select("w", "low").mapInArrow(S.slot_counter(_slot_tokens), S.PARTIAL_SCHEMA), "partials")
-        out = cls(rows.sparkSession, S.table(partials))
+    def build(cls, rows: DataFrame, key: str, title: str, url: str, path: str | None = None, buckets: int | None = None) -> Index:
+        """The index of rows at path, by default a new folder beside the checkpoints; buckets grow with the rows unless given."""
+        spark = rows.sparkSession
+        path = path or f"{shared_dir(spark)}/tidemark/index-{uuid.uuid4().hex}"
+        prep = stored(prepared(rows, key, title, url), "prepared")
+        partials = stored(prep.select("w").mapInArrow(S.slot_counter(_slot_tokens), S.PARTIAL_SCHEMA), "partials")
+        sketch = S.table(partials)
         drop_stored(partials)
-        out._add(prep.drop("low"))
+        if buckets is None:
+            buckets = max(12, -(-prep.count() * BLOCKS // BUCKET_ROWS))
+        spark.createDataFrame([(buckets, bytearray(sketch.tobytes()))], "buckets int, sketch binary").coalesce(1).write.parquet(f"{path}/base")
+        out = cls(spark, path, buckets, sketch)
+        out._add(prep)
         return out
 
-    def append(self, rows: DataFrame, key: str, title: str, url: str) -> None:
-        self._add(stored(prepared(rows, key, title, url).drop("low"), "heads"))
-
-    def _add(self, prep: DataFrame) -> None:
-        blocks = stored(prep.select("id", "w").mapInArrow(_blocks(self.sketch), "key long, id long"), "blocks")
-        self.parts.append((prep, blocks))
-
-    def heads(self) -> DataFrame:
-        return _union([p for p, _ in self.parts])
-
-    def blocks(self) -> DataFrame:
-        return _union([b for _, b in self.parts])
-
-    def ties(self, ids: DataFrame) -> DataFrame:
-        """(a, b): verified ties between the rows of ids (id) and any other row of the index."""
-        mine = small_side(stored(ids.distinct(), "frontier"))
-        q = stored(self.blocks().join(mine, "id", "left_semi").select("key", F.col("id").alias("q")).distinct(), "lookups")
-        hits = self.blocks().join(small_side(q), "key").filter("id <> q")
-        pairs = stored(hits.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct(), "hits")
-        need = small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need"))
-        texts = stored(self.heads().join(need, "id", "left_semi").select("id", "head", "w").dropDuplicates(["id"]), "texts")
-        ta = texts.select(F.col("id").alias("a"), F.col("head").alias("ha"), F.col("w").alias("wa"))
-        tb = texts.select(F.col("id").alias("b"), F.col("head").alias("hb"), F.col("w").alias("wb"))
-        both = pairs.join(ta, "a").join(tb, "b").filter("ha is not null and hb is not null")
-        by_title = both.mapInPandas(_verifier(self.sketch), "a long, b long")
-        pages = self.heads().select("id", "page").filter("page is not null")
-        wanted = small_side(stored(pages.join(mine, "id", "left_semi").select("page").distinct(), "lookups"))
-        # all rows of a reached page are tied to its least row, so that each of them looks up its own headline
-        on_page = stored(pages.join(wanted, "page", "left_semi").distinct(), "pages")
-        least = on_page.groupBy("page").agg(F.min("id").alias("a"))
-        by_page = on_page.join(least, "page").filter("a <> id").select("a", F.col("id").alias("b"))
-        return stored(by_title.unionByName(by_page).distinct(), "ties")
-
-
-def _union(dfs: list[DataFrame]) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
-
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        """An index that build() and append() left at path, with the parts its log names."""
+        base = spark.read.parquet(f"{path}/base").first()
+        out = cls(spark, path, base["buckets"], np.frombuffer(bytes(base["sketch"]), np.uint8))
+        for r in spark.read.schema("at long, part string").parquet(f"{path}/log").orderBy("at").toLocalIterator():
+            tables = {}
+            for kind, (columns, by) in TABLES.items():
+                at = f"{path}/{r['part']}/{kind}"
+                tables[kind] = out._known(at, columns, by) if by else spark.read.schema(columns).parquet(at)
+            out.parts.append(tables)
+        return out
 
-def repeats(index: Index, batch_ids: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(first_id, candidate_id): each row of batch_ids (id) whose item the index has under a lower id, with the item's least id.
+    def append(self, rows: DataFrame, key: str, title: str, url: str) -> DataFrame:
+        """Adds rows; returns them as (id, h, p), written, to be looked up."""
+        return self._add(stored(prepared(rows, key, title, url), "prepared"))
+
+    def close(self) -> None:
+        """Forgets the session's names of the tables; the folder stays."""
+        for n in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+    def _name(self) -> str:
+        self._names.append("tidemark_" + uuid.uuid4().hex)
+        return self._names[-1]
+
+    def _known(self, at: str, columns: str, by: str) -> DataFrame:
+        n = self._name()
+        self.spark.sql(f"CREATE TABLE {n} ({columns}) USING parquet OPTIONS (path '{at}') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS")
+        return self.spark.table(n)
+
+    def _bucketed(self, df: DataFrame, at: str, by: str) -> DataFrame:
+        n = self._name()
+        w = df.repartition(self.buckets, by).write.format("parquet").option("compression", "zstd").option("path", at)
+        w.bucketBy(self.buckets, by).sortBy(by).saveAsTable(n)
+        return self.spark.table(n)
+
+    def _add(self, prep: DataFrame) -> DataFrame:
+        part = "part-" + uuid.uuid4().hex
+        at = f"{self.path}/{part}"
+
+        def plain(df: DataFrame, kind: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(f"{at}/{kind}")
+            return self.spark.read.schema(TABLES[kind][0]).parquet(f"{at}/{kind}")
+
+        links = plain(prep.filter("h is not null or p is not null").groupBy("h", "p").agg(F.min("id").alias("least")), "links")
+        words = plain(prep.select(F.explode("low").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+        one = prep.filter("h is not null").groupBy("h").agg(F.first(F.struct("head", "w")).alias("x"))
+        heads = self._bucketed(one.select("h", "x.head", "x.w"), f"{at}/heads", "h")
+        blocks = self._bucketed(heads.select("h", "w").mapInArrow(_blocks(self.sketch), TABLES["blocks"][0]), f"{at}/blocks", "key")
+        log = self.spark.createDataFrame([(len(self.parts), part)], "at long, part string").coalesce(1)
+        log.write.mode("append").parquet(f"{self.path}/log")
+        self.parts.append({"heads": heads, "blocks": blocks, "links": links, "words": words})
+        return prep.select("id", "h", "p")
+
+    def _of(self, kind: str, keys: DataFrame, by: str, how: str = "inner") -> DataFrame:
+        """The rows of a table, of all parts, that have a key of keys (a written table); few keys are pushed into the scan."""
+        few = [r[0] for r in keys.select(by).distinct().limit(FEW_KEYS + 1).collect()]
+        out = None
+        for p in self.parts:
+            t = p[kind].filter(F.col(by).isin(few)) if len(few) <= FEW_KEYS else p[kind]
+            # the keys are the build side whatever their number: the index keeps its buckets
+            t = t.join(small_side(keys).hint("shuffle_hash"), by, how)
+            out = t if out is None else out.unionByName(t)
+        return out
 
-    The batch must have been appended. Matched rows look up in turn, until a round finds no row that hasn't;
-    rounds is a safety bound, beyond which an error is raised.
+    def hits(self, heads: DataFrame) -> DataFrame:
+        """(q, h, equal): headlines of the index that share blocks with the headlines q of heads (h, w), and how many."""
+        q = stored(heads.mapInArrow(_blocks(self.sketch), TABLES["blocks"][0]).withColumnRenamed("h", "q"), "lookups")
+        return self._of("blocks", q, "key").filter("h <> q").groupBy("q", "h").agg(F.count(F.lit(1)).alias("equal"))
+
+    def ties(self, frontier: DataFrame) -> DataFrame:
+        """(a, b): verified ties between the headlines of frontier (h) and any other headline of the index."""
+        mine = stored(self._of("heads", frontier, "h", "left_semi").select("h", "w").dropDuplicates(["h"]), "mine")
+        near = self.hits(mine).filter(F.lit(BLOCKS) - F.col("equal") <= RADIUS)
+        pairs = stored(near.select(F.least("h", "q").alias("a"), F.greatest("h", "q").alias("b")).distinct(), "hits")
+        need = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "need")
+        texts = stored(self._of("heads", need, "h", "left_semi").dropDuplicates(["h"]), "texts")
+        words = stored(texts.select("h", F.explode(F.array_distinct("w")).alias("word")), "words")
+        asked = stored(words.select("word").distinct(), "asked")
+        usual = self._of("words", asked, "word").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= ORDINARY).select("word")
+        usual = words.join(small_side(stored(usual, "usual")), "word").groupBy("h").agg(F.collect_list("word").alias("o"))
+        texts = stored(texts.join(usual, "h", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>"))), "texts")
+        ta = texts.select(F.col("h").alias("a"), F.col("head").alias("ha"), F.col("w").alias("wa"), F.col("o").alias("oa"))
+        tb = texts.select(F.col("h").alias("b"), F.col("head").alias("hb"), F.col("w").alias("wb"), F.col("o").alias("ob"))
+        return stored(pairs.join(ta, "a").join(tb, "b").mapInPandas(_verify, "a long, b long"), "ties")
+
+
+def repeats(index: Index, batch: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(first_id, candidate_id): each row of batch (id, h, p, as append() returned it) whose item the index has under a lower id, with the item's least id.
+
+    Headlines and pages are searched in turn, until a round finds none that hasn't been; rounds is a safety bound, beyond
+    which an error is raised.
     """
-    seen = stored(batch_ids.select("id").distinct(), "seen")
-    frontier, edges = seen, None
+    new_h = seen_h = stored(batch.select("h").filter("h is not null").distinct(), "heads")
+    new_p = seen_p = stored(batch.select("p").filter("p is not null").distinct(), "pages")
+    links, ties = [], []
     for _ in range(rounds):
-        found = index.ties(frontier)
-        edges = found if edges is None else stored(edges.unionByName(found).distinct(), "ties")
-        reached = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        frontier = stored(reached.join(seen, "id", "left_anti"), "frontier")
-        if frontier.isEmpty():
+        ties.append(index.ties(new_h))
+        found = index._of("links", new_h, "h", "left_semi").unionByName(index._of("links", new_p, "p", "left_semi"))
+        links.append(stored(found.groupBy("h", "p").agg(F.min("least").alias("least")), "links"))
+        ends = ties[-1].select(F.explode(F.array("a", "b")).alias("h")).unionByName(links[-1].select("h").filter("h is not null"))
+        new_h = stored(ends.distinct().join(seen_h, "h", "left_anti"), "heads")
+        new_p = stored(links[-1].select("p").filter("p is not null").distinct().join(seen_p, "p", "left_anti"), "pages")
+        if new_h.isEmpty() and new_p.isEmpty():
             break
-        seen = stored(seen.unionByName(frontier), "seen")
+        seen_h, seen_p = stored(seen_h.unionByName(new_h), "heads"), stored(seen_p.unionByName(new_p), "pages")
     else:
         raise RuntimeError(f"repeats: rows left to look up after {rounds} rounds")
-    member = components(edges)
-    return member.join(batch_ids.select("id").distinct(), "id").filter("root < id").select(F.col("root").alias("first_id"), F.col("id").alias("candidate_id"))
+    link = _union(links)
+    member = components(_union(ties).unionByName(link.filter("h is not null and p is not null").select(F.col("h").alias("a"), F.col("p").alias("b"))))
+    member = member.withColumnRenamed("id", "node")
+    node = F.coalesce("h", "p").alias("node")
+    rooted = lambda df: df.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted(link.select(node, "least")).groupBy("root").agg(F.min("least").alias("first_id"))
+    mine = rooted(batch.select(F.col("id").alias("candidate_id"), node).filter("node is not null").distinct())
+    return mine.join(first, "root").filter("first_id < candidate_id").select("first_id", "candidate_id").distinct()
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def batch_repeats(history: DataFrame, batches: DataFrame, key: str = "candidate_id", title: str = "title", url: str = "url") -> DataFrame:
@@ -347,5 +428,4 @@ def batch_repeats(history: DataFrame, batches: DataFrame, key: str = "candidate_
     not read, rows without an id are left out.
     """
     index = Index.build(history, key, title, url)
-    index.append(batches, key, title, url)
-    return repeats(index, batches.select(F.col(key).cast("long").alias("id")).filter("id is not null"))
+    return repeats(index, index.append(batches, key, title, url))
