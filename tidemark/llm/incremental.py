@@ -2,7 +2,8 @@
 
 A headline's fingerprint has BLOCKS blocks of bits. A block is the hash of one word of the headline, drawn by a weighted
 minimum (rare words weigh more), so headlines that share much of their weight agree in many blocks and differ by random
-bits in the others. The index holds the fingerprints in BLOCKS block tables, table k with the fingerprint rotated so that
+bits in the others. If the drawn word is in more than WIDE headlines, the block is the hash of that and the next draws, as
+many as bring its expected number of headlines below: such a block counts as that many. The index holds the fingerprints in BLOCKS block tables, table k with the fingerprint rotated so that
 its block k leads: the table's number and that block are the key. A batch looks up the exact blocks of its own headlines;
 each table in which two headlines meet is a block without a bit of difference, so the number of blocks that differ - the
 Hamming distance over blocks - is counted from the hits. Pairs within RADIUS go to the comparison of their texts, then the
@@ -40,6 +41,9 @@ BLOCKS = 24
 RADIUS = BLOCKS - 2
 #: Words no more frequent than this weigh alike, so that a typing slip does not outweigh a name.
 RARE = 4
+#: Headlines expected to share a block at most, unless it holds DRAWS words; of the headlines with its rarest word, each further
+#: word is taken to leave one in SPREAD.
+WIDE, DRAWS, SPREAD = 256, 4, 2
 #: A word written in lower case at least so often is an ordinary one.
 ORDINARY = 3
 #: Rows of a block table a bucket, and the number of keys up to which only their buckets are read.
@@ -100,6 +104,12 @@ def _slot_tokens(b: pa.RecordBatch) -> np.ndarray:
     return S.flatten(b.column("w"))[0]
 
 
+def _least(cost: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The place of the first least cost of each row."""
+    at = np.flatnonzero(cost == np.minimum.reduceat(cost, start)[row])
+    return at[np.r_[True, row[at][1:] != row[at][:-1]]]
+
+
 def _blocks(sketch):
     """A mapInArrow function: (h, w) to (key, h), a row per block: the number of the table and the block that leads there."""
 
@@ -115,16 +125,31 @@ def _blocks(sketch):
             row = np.repeat(np.arange(len(n)), n)
             word, at_word = np.unique(v, return_inverse=True)
             count = 2.0 ** ((np.maximum(table[S.slots(word)], 1).astype(float) - 1) / 4)
-            count = np.maximum(count, RARE)
+            weight = np.maximum(count, RARE)
             keys = []
             for k in range(BLOCKS):
                 with np.errstate(over="ignore"):
                     x = S.mix(word + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
                 u = ((x >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-                cost = (-np.log(u) * count)[at_word]
-                at = np.flatnonzero(cost == np.minimum.reduceat(cost, start)[row])
-                first = at[np.r_[True, row[at][1:] != row[at][:-1]]]
-                keys.append((x[at_word[first]] >> np.uint64(8)) | np.uint64(k) << np.uint64(56))
+                cost = (-np.log(u) * weight)[at_word]
+                drawn = at_word[_least(cost, start, row)]
+                key, draws, width = x[drawn], np.ones(len(n), np.int64), count[drawn]
+                wide = np.flatnonzero(width > WIDE)
+                for d in range(2, DRAWS + 1):
+                    if not len(wide):
+                        break
+                    cost[at_word == drawn[row]] = np.inf
+                    at = _least(cost, start, row)
+                    # no other word left: the block stays as it is
+                    wide = wide[np.isfinite(cost[at[wide]])]
+                    drawn = np.where(np.isin(np.arange(len(n)), wide), at_word[at], drawn)
+                    with np.errstate(over="ignore"):
+                        key[wide] = S.mix(key[wide] * np.uint64(3) + x[drawn[wide]])
+                    draws[wide] = d
+                    width[wide] = np.minimum(width[wide], count[drawn[wide]]) / SPREAD
+                    wide = wide[width[wide] > WIDE]
+                top = np.uint64(k) | (draws - 1).astype(np.uint64) << np.uint64(5)
+                keys.append((key >> np.uint64(8)) | top << np.uint64(56))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BLOCKS))], names=["key", "h"])
 
     return run
@@ -164,47 +189,71 @@ def _is_name(word: str, ordinary) -> bool:
     return word[0].isupper() and word.lower() not in LABEL_WORDS and not ordinary(word.lower())
 
 
-def same_headline(a: str, b: str, ordinary) -> bool:
-    """Whether two headlines are one but for small edits of wording, order, case, marks, clipping or publisher tags.
+class Parsed:
+    """A headline taken apart: words, which of them are names, which ordinary, whether it was clipped."""
 
-    ordinary(word): whether a lower-case word is an ordinary one. Words in just one of them must be ordinary, or be typing
-    slips of an ordinary word of the other, or lie beyond the other's clipped end. A name, code or number on both sides
-    without a partner makes them different.
-    """
-    wa, wb = _SPLIT.findall(a), _SPLIT.findall(b)
-    if not wa or not wb:
+    __slots__ = ("words", "count", "names", "usual", "digits", "clipped")
+
+    def __init__(self, head: str, ordinary):
+        found = _SPLIT.findall(head)
+        flat = _flat(found)
+        self.words = [w.lower() for w in found]
+        self.count = Counter(self.words)
+        kind: dict[str, bool] = {}
+        for w, low in zip(found, self.words):
+            kind[low] = kind.get(low, True) and _is_name(w if not flat else w[:1].upper() + w[1:], ordinary)
+        self.names = {w for w, name in kind.items() if name}
+        self.usual = {w for w in kind if ordinary(w)}
+        self.digits = {w for w in kind if any(ch.isdigit() for ch in w)}
+        self.clipped = bool(_CLIPPED.search(head))
+
+
+def same_parsed(a: Parsed, b: Parsed) -> bool:
+    """same_headline() of two headlines taken apart."""
+    if not a.words or not b.words:
         return False
-    ca, cb = Counter(w.lower() for w in wa), Counter(w.lower() for w in wb)
-    only_a, only_b = ca - cb, cb - ca
-    common = ca & cb
+    if not (a.clipped or b.clipped):
+        # a code or number on one side only has no partner
+        if any(w not in b.count for w in a.digits) or any(w not in a.count for w in b.digits):
+            return False
+    only_a, only_b = a.count - b.count, b.count - a.count
     if not only_a and not only_b:
         return True
-    shouted_a, shouted_b = _flat(wa), _flat(wb)
-    kind = {}
-    for ws, flat in ((wa, shouted_a), (wb, shouted_b)):
-        for w in ws:
-            name = _is_name(w if not flat else w[:1].upper() + w[1:], ordinary)
-            kind[w.lower()] = kind.get(w.lower(), True) and name
-    if not any(kind[w] for w in common):
+    common = a.count & b.count
+    n_common = sum(common.values())
+    most = max(2, 0.34 * n_common)
+    if not (a.clipped or b.clipped) and abs(sum(only_a.values()) - sum(only_b.values())) > most:
+        return False
+    # a word of both is a name if it is written as one in both
+    named = lambda w: (w in a.names or w not in a.count) and (w in b.names or w not in b.count)
+    if not any(named(w) for w in common):
         return False
     for x in list(only_a):
+        if x in a.digits:
+            continue
         for y in list(only_b):
-            if only_a[x] and only_b[y] and near_equal(x, y) and (ordinary(x) or ordinary(y) or not kind[x] or not kind[y]):
-                if not any(ch.isdigit() for ch in x + y):
+            if only_a[x] and only_b[y] and y not in b.digits and abs(len(x) - len(y)) < 3 and near_equal(x, y):
+                if x in a.usual or y in b.usual or not named(x) or not named(y):
                     only_a[x] -= 1
                     only_b[y] -= 1
     left_a, left_b = +only_a, +only_b
-    clip_a, clip_b = bool(_CLIPPED.search(a)), bool(_CLIPPED.search(b))
-    if clip_b:
-        left_a = _before_clip(wa, left_a, cb)
-    if clip_a:
-        left_b = _before_clip(wb, left_b, ca)
-    names_a, names_b = [w for w in left_a if kind[w]], [w for w in left_b if kind[w]]
-    if names_a or names_b:
+    if b.clipped:
+        left_a = _before_clip(a.words, left_a, b.count)
+    if a.clipped:
+        left_b = _before_clip(b.words, left_b, a.count)
+    if any(named(w) for w in left_a) or any(named(w) for w in left_b):
         return False
-    n_common = sum(common.values())
-    extra_a, extra_b = sum(left_a.values()), sum(left_b.values())
-    return max(extra_a, extra_b) <= max(2, 0.34 * n_common)
+    return max(sum(left_a.values()), sum(left_b.values())) <= most
+
+
+def same_headline(a: str, b: str, ordinary) -> bool:
+    """Whether two headlines are one but for small edits of wording, order, case, marks, clipping or publisher tags.
+
+    ordinary(word): whether a lower-case word is an ordinary one. Words in just one of them must be ordinary, or be typing
+    slips of an ordinary word of the other, or lie beyond the other's clipped end. A name, code or number on both sides
+    without a partner makes them different.
+    """
+    return same_parsed(Parsed(a, ordinary), Parsed(b, ordinary))
 
 
 def _flat(ws: list[str]) -> bool:
@@ -216,8 +265,7 @@ def _flat(ws: list[str]) -> bool:
 def _before_clip(words: list[str], left: Counter, other: Counter) -> Counter:
     """left without the words of the longest run at the end of words (or its start, if turned round) that the clipped other lacks."""
     out = Counter(left)
-    for w in reversed(words):
-        x = w.lower()
+    for x in reversed(words):
         if x in out and out[x] > 0:
             out[x] -= 1
         elif other[x]:
@@ -228,10 +276,9 @@ def _before_clip(words: list[str], left: Counter, other: Counter) -> Counter:
         turned = Counter(left)
         best = +out
         # the clipped one may have been turned round first: its missing words are one inner run
-        seq = [w.lower() for w in words]
         run: list[str] = []
         longest: list[str] = []
-        for x in seq:
+        for x in words:
             if x in left:
                 run.append(x)
                 longest = max(longest, run, key=len)
@@ -244,19 +291,35 @@ def _before_clip(words: list[str], left: Counter, other: Counter) -> Counter:
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of the same headline; ua and ub: the headlines' ordinary words. A headline is taken apart once while it stays in memory."""
+    known: dict[int, Parsed] = {}
+
+    def parsed(h: int, head: str, usual: str) -> Parsed:
+        p = known.get(h)
+        if p is None:
+            if len(known) > 20_000:
+                known.clear()
+            p = known[h] = Parsed(head, set(usual.split(" ")).__contains__)
+        return p
+
     for b in batches:
-        keep = []
-        for x, y, wx, wy, ox, oy in zip(b["ha"], b["hb"], b["wa"], b["wb"], b["oa"], b["ob"]):
-            usual: set[str] = set()
-            for head, hashes, known in ((x, wx, ox), (y, wy, oy)):
-                if len(known):
-                    parts, known = _SPLIT.findall(head), set(known)
-                    if len(parts) == len(hashes):
-                        usual.update(w.lower() for w, h in zip(parts, hashes) if h in known)
-            keep.append(same_headline(x, y, usual.__contains__))
+        keep = [
+            same_parsed(parsed(i, x, u), parsed(j, y, v))
+            for i, j, x, y, u, v in zip(b["a"].tolist(), b["b"].tolist(), b["ha"].tolist(), b["hb"].tolist(), b["ua"].tolist(), b["ub"].tolist())
+        ]
         yield b.loc[keep, ["a", "b"]]
 
 
+def _usual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of (h, head, w, o): the ordinary words (hashes o among w) of each headline, as text."""
+    for b in batches:
+        out = []
+        for head, hashes, known in zip(b["head"], b["w"], b["o"]):
+            parts, known = [w.lower() for w in _SPLIT.findall(head)], set(known)
+            out.append(" ".join(sorted({w for w, h in zip(parts, hashes) if h in known})) if len(parts) == len(hashes) else "")
+        yield pd.DataFrame({"h": b["h"], "head": b["head"], "usual": out})
+
+
 #: Columns of a part's tables and the key of its bucketed ones.
 TABLES = {
     "heads": ("h bigint, head string, w array<bigint>", "h"),
@@ -281,10 +344,18 @@ class Index:
     @classmethod
     def build(cls, rows: DataFrame, key: str, title: str, url: str, path: str | None = None, buckets: int | None = None) -> Index:
         """The index of rows at path, by default a new folder beside the checkpoints; buckets grow with the rows unless given."""
-        spark = rows.sparkSession
+        return cls.of(stored(prepared(rows, key, title, url), "prepared"), path=path, buckets=buckets)
+
+    @classmethod
+    def of(cls, prep: DataFrame, later: DataFrame | None = None, path: str | None = None, buckets: int | None = None) -> Index:
+        """build() of prepared rows. later: rows prepared to be appended, whose words are weighed too.
+
+        A word that only later rows use often would pass for a rare one; that loses nothing but makes look-ups dearer.
+        """
+        spark = prep.sparkSession
         path = path or f"{shared_dir(spark)}/tidemark/index-{uuid.uuid4().hex}"
-        prep = stored(prepared(rows, key, title, url), "prepared")
-        partials = stored(prep.select("w").mapInArrow(S.slot_counter(_slot_tokens), S.PARTIAL_SCHEMA), "partials")
+        every = prep if later is None else prep.unionByName(later)
+        partials = stored(every.select("w").mapInArrow(S.slot_counter(_slot_tokens), S.PARTIAL_SCHEMA), "partials")
         sketch = S.table(partials)
         drop_stored(partials)
         if buckets is None:
@@ -362,8 +433,9 @@ class Index:
 
     def hits(self, heads: DataFrame) -> DataFrame:
         """(q, h, equal): headlines of the index that share blocks with the headlines q of heads (h, w), and how many."""
+        draws = F.shiftrightunsigned("key", 61) + 1
         q = stored(heads.mapInArrow(_blocks(self.sketch), TABLES["blocks"][0]).withColumnRenamed("h", "q"), "lookups")
-        return self._of("blocks", q, "key").filter("h <> q").groupBy("q", "h").agg(F.count(F.lit(1)).alias("equal"))
+        return self._of("blocks", q, "key").filter("h <> q").groupBy("q", "h").agg(F.sum(draws).alias("equal"))
 
     def ties(self, frontier: DataFrame) -> DataFrame:
         """(a, b): verified ties between the headlines of frontier (h) and any other headline of the index."""
@@ -376,10 +448,13 @@ class Index:
         asked = stored(words.select("word").distinct(), "asked")
         usual = self._of("words", asked, "word").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= ORDINARY).select("word")
         usual = words.join(small_side(stored(usual, "usual")), "word").groupBy("h").agg(F.collect_list("word").alias("o"))
-        texts = stored(texts.join(usual, "h", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>"))), "texts")
-        ta = texts.select(F.col("h").alias("a"), F.col("head").alias("ha"), F.col("w").alias("wa"), F.col("o").alias("oa"))
-        tb = texts.select(F.col("h").alias("b"), F.col("head").alias("hb"), F.col("w").alias("wb"), F.col("o").alias("ob"))
-        return stored(pairs.join(ta, "a").join(tb, "b").mapInPandas(_verify, "a long, b long"), "ties")
+        texts = texts.join(usual, "h", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>")))
+        texts = stored(texts.select("h", "head", "w", "o").mapInPandas(_usual, "h long, head string, usual string"), "texts")
+        ta = texts.select(F.col("h").alias("a"), F.col("head").alias("ha"), F.col("usual").alias("ua"))
+        tb = texts.select(F.col("h").alias("b"), F.col("head").alias("hb"), F.col("usual").alias("ub"))
+        # side a last, so that its pairs lie together
+        both = pairs.join(tb, "b").join(ta, "a")
+        return stored(both.select("a", "b", "ha", "hb", "ua", "ub").mapInPandas(_verify, "a long, b long"), "ties")
 
 
 def repeats(index: Index, batch: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -427,5 +502,6 @@ def batch_repeats(history: DataFrame, batches: DataFrame, key: str = "candidate_
     such rows match by the other alone. Repeated rows of an id count once; empty tables give no rows; other columns are
     not read, rows without an id are left out.
     """
-    index = Index.build(history, key, title, url)
-    return repeats(index, index.append(batches, key, title, url))
+    old, new = (stored(prepared(rows, key, title, url), "prepared") for rows in (history, batches))
+    index = Index.of(old, later=new)
+    return repeats(index, index._add(new))
