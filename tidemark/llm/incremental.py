@@ -190,22 +190,24 @@ def _is_name(word: str, ordinary) -> bool:
 
 
 class Parsed:
-    """A headline taken apart: words, which of them are names, which ordinary, whether it was clipped."""
+    """A headline taken apart: words, which of them are names, ordinary or hold digits, whether it was clipped."""
 
     __slots__ = ("words", "count", "names", "usual", "digits", "clipped")
 
-    def __init__(self, head: str, ordinary):
+    def __init__(self, words: list[str], names: set[str], usual: set[str], digits: set[str], clipped: bool):
+        self.words, self.names, self.usual, self.digits, self.clipped = words, names, usual, digits, clipped
+        self.count = Counter(words)
+
+    @classmethod
+    def of(cls, head: str, ordinary) -> Parsed:
         found = _SPLIT.findall(head)
         flat = _flat(found)
-        self.words = [w.lower() for w in found]
-        self.count = Counter(self.words)
+        words = [w.lower() for w in found]
         kind: dict[str, bool] = {}
-        for w, low in zip(found, self.words):
+        for w, low in zip(found, words):
             kind[low] = kind.get(low, True) and _is_name(w if not flat else w[:1].upper() + w[1:], ordinary)
-        self.names = {w for w, name in kind.items() if name}
-        self.usual = {w for w in kind if ordinary(w)}
-        self.digits = {w for w in kind if any(ch.isdigit() for ch in w)}
-        self.clipped = bool(_CLIPPED.search(head))
+        names = {w for w, name in kind.items() if name}
+        return cls(words, names, {w for w in kind if ordinary(w)}, {w for w in kind if any(ch.isdigit() for ch in w)}, bool(_CLIPPED.search(head)))
 
 
 def same_parsed(a: Parsed, b: Parsed) -> bool:
@@ -253,7 +255,7 @@ def same_headline(a: str, b: str, ordinary) -> bool:
     slips of an ordinary word of the other, or lie beyond the other's clipped end. A name, code or number on both sides
     without a partner makes them different.
     """
-    return same_parsed(Parsed(a, ordinary), Parsed(b, ordinary))
+    return same_parsed(Parsed.of(a, ordinary), Parsed.of(b, ordinary))
 
 
 def _flat(ws: list[str]) -> bool:
@@ -290,34 +292,31 @@ def _before_clip(words: list[str], left: Counter, other: Counter) -> Counter:
     return +out
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of the same headline; ua and ub: the headlines' ordinary words. A headline is taken apart once while it stays in memory."""
-    known: dict[int, Parsed] = {}
-
-    def parsed(h: int, head: str, usual: str) -> Parsed:
-        p = known.get(h)
-        if p is None:
-            if len(known) > 20_000:
-                known.clear()
-            p = known[h] = Parsed(head, set(usual.split(" ")).__contains__)
-        return p
-
-    for b in batches:
-        keep = [
-            same_parsed(parsed(i, x, u), parsed(j, y, v))
-            for i, j, x, y, u, v in zip(b["a"].tolist(), b["b"].tolist(), b["ha"].tolist(), b["hb"].tolist(), b["ua"].tolist(), b["ub"].tolist())
-        ]
-        yield b.loc[keep, ["a", "b"]]
+#: A headline taken apart, as text: words, names, ordinary words and words with digits, parted by spaces.
+APART = "words string, names string, usual string, digits string, clipped boolean"
 
 
-def _usual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of (h, head, w, o): the ordinary words (hashes o among w) of each headline, as text."""
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of (h, head, w, o): (h, APART); o are the hashes, among w, of the headline's ordinary words."""
     for b in batches:
         out = []
         for head, hashes, known in zip(b["head"], b["w"], b["o"]):
             parts, known = [w.lower() for w in _SPLIT.findall(head)], set(known)
-            out.append(" ".join(sorted({w for w, h in zip(parts, hashes) if h in known})) if len(parts) == len(hashes) else "")
-        yield pd.DataFrame({"h": b["h"], "head": b["head"], "usual": out})
+            usual = {w for w, h in zip(parts, hashes) if h in known} if len(parts) == len(hashes) else set()
+            p = Parsed.of(head, usual.__contains__)
+            out.append((" ".join(p.words), " ".join(p.names), " ".join(p.usual), " ".join(p.digits), p.clipped))
+        yield pd.concat([b[["h"]].reset_index(drop=True), pd.DataFrame(out, columns=["words", "names", "usual", "digits", "clipped"])], axis=1)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, columns of APART of both) of the same headline."""
+    for b in batches:
+        sides = []
+        for x in "ab":
+            cols = [b.column(c + x).to_pylist() for c in ("words_", "names_", "usual_", "digits_", "clipped_")]
+            sides.append([Parsed(w.split(" ") if w else [], set(n.split(" ")), set(u.split(" ")), set(d.split(" ")) if d else set(), c) for w, n, u, d, c in zip(*cols)])
+        keep = pa.array([same_parsed(x, y) for x, y in zip(*sides)], pa.bool_())
+        yield b.select(["a", "b"]).filter(keep)
 
 
 #: Columns of a part's tables and the key of its bucketed ones.
@@ -449,12 +448,9 @@ class Index:
         usual = self._of("words", asked, "word").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= ORDINARY).select("word")
         usual = words.join(small_side(stored(usual, "usual")), "word").groupBy("h").agg(F.collect_list("word").alias("o"))
         texts = texts.join(usual, "h", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>")))
-        texts = stored(texts.select("h", "head", "w", "o").mapInPandas(_usual, "h long, head string, usual string"), "texts")
-        ta = texts.select(F.col("h").alias("a"), F.col("head").alias("ha"), F.col("usual").alias("ua"))
-        tb = texts.select(F.col("h").alias("b"), F.col("head").alias("hb"), F.col("usual").alias("ub"))
-        # side a last, so that its pairs lie together
-        both = pairs.join(tb, "b").join(ta, "a")
-        return stored(both.select("a", "b", "ha", "hb", "ua", "ub").mapInPandas(_verify, "a long, b long"), "ties")
+        texts = stored(texts.select("h", "head", "w", "o").mapInPandas(_apart, "h long, " + APART), "texts")
+        side = lambda x: texts.select(*[F.col(c).alias(x if c == "h" else f"{c}_{x}") for c in texts.columns])
+        return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long"), "ties")
 
 
 def repeats(index: Index, batch: DataFrame, rounds: int = 1000) -> DataFrame:
