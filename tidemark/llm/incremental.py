@@ -34,7 +34,7 @@ from tidemark.llm import sketch as S
 from tidemark.llm.pages import page_key_column
 from tidemark.llm.text import NOT_WORD, consistent, suspect
 from tidemark.operators.components import components
-from tidemark.session import drop_stored, shared_dir, small_side, stored
+from tidemark.session import drop_stored, shared_dir, small_side, stored, stored_bytes
 
 BLOCKS = 24
 #: Blocks that may differ: at least two of all must be equal.
@@ -48,6 +48,8 @@ WIDE, DRAWS, SPREAD = 256, 4, 2
 ORDINARY = 3
 #: Rows of a block table a bucket, and the number of keys up to which only their buckets are read.
 BUCKET_ROWS, FEW_KEYS = 4_000_000, 1000
+#: Size of a written table above which its keys aren't counted.
+FEW_BYTES = 64 << 10
 
 # Labels set before a headline.
 LABEL_WORDS = ("news", "exclusive", "update", "updated", "breaking", "corrected", "correction", "live", "alert")
@@ -160,6 +162,9 @@ def near_equal(a: str, b: str) -> bool:
     most = 2 if min(len(a), len(b)) >= 10 else 1
     if abs(len(a) - len(b)) > most or min(len(a), len(b)) < 3:
         return False
+    # an edit changes the set of letters by two at most
+    if len(set(a) ^ set(b)) > 2 * most:
+        return False
     prev2: list[int] = []
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -421,10 +426,10 @@ class Index:
 
     def _of(self, kind: str, keys: DataFrame, by: str, how: str = "inner") -> DataFrame:
         """The rows of a table, of all parts, that have a key of keys (a written table); few keys are pushed into the scan."""
-        few = [r[0] for r in keys.select(by).distinct().limit(FEW_KEYS + 1).collect()]
+        few = [r[0] for r in keys.select(by).distinct().limit(FEW_KEYS + 1).collect()] if stored_bytes(keys) < FEW_BYTES else None
         out = None
         for p in self.parts:
-            t = p[kind].filter(F.col(by).isin(few)) if len(few) <= FEW_KEYS else p[kind]
+            t = p[kind].filter(F.col(by).isin(few)) if few is not None and len(few) <= FEW_KEYS else p[kind]
             # the keys are the build side whatever their number: the index keeps its buckets
             t = t.join(small_side(keys).hint("shuffle_hash"), by, how)
             out = t if out is None else out.unionByName(t)

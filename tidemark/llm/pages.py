@@ -66,7 +66,7 @@ def _page_key(s: pd.Series) -> pd.Series:
 
 
 #: Java pattern of addresses whose key needs no more than cutting off scheme, fragment and last slash.
-PLAIN = r"^https?://(?!www\.|m\.|mobile\.|amp\.)[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/[A-Za-z0-9._~-]+)+/?(?:#.*)?$"
+PLAIN = r"^https?://(?!www\.|m\.|mobile\.|amp\.)[a-z0-9-]++(?:\.[a-z0-9-]++)++(?:/[A-Za-z0-9._~-]++)++/?(?:#.*)?$"
 
 
 def page_key_column(c: Column) -> Column:
