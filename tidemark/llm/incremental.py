@@ -185,7 +185,7 @@ _CLIPPED = re.compile(r"(?:\.{3,}|…)(?:\s|$)")
 
 
 def _is_name(word: str, ordinary) -> bool:
-    if any(ch.isdigit() for ch in word):
+    if not word.isalpha() and any(ch.isdigit() for ch in word):
         return True
     if "゠" <= word[0] <= "ヿ":
         return True
@@ -197,11 +197,10 @@ def _is_name(word: str, ordinary) -> bool:
 class Parsed:
     """A headline taken apart: words, which of them are names, ordinary or hold digits, whether it was clipped."""
 
-    __slots__ = ("words", "count", "names", "usual", "digits", "clipped")
+    __slots__ = ("words", "names", "usual", "digits", "clipped")
 
     def __init__(self, words: list[str], names: set[str], usual: set[str], digits: set[str], clipped: bool):
         self.words, self.names, self.usual, self.digits, self.clipped = words, names, usual, digits, clipped
-        self.count = Counter(words)
 
     @classmethod
     def of(cls, head: str, ordinary) -> Parsed:
@@ -212,7 +211,7 @@ class Parsed:
         for w, low in zip(found, words):
             kind[low] = kind.get(low, True) and _is_name(w if not flat else w[:1].upper() + w[1:], ordinary)
         names = {w for w, name in kind.items() if name}
-        return cls(words, names, {w for w in kind if ordinary(w)}, {w for w in kind if any(ch.isdigit() for ch in w)}, bool(_CLIPPED.search(head)))
+        return cls(words, names, {w for w in kind if ordinary(w)}, {w for w in kind if not w.isalpha() and any(ch.isdigit() for ch in w)}, bool(_CLIPPED.search(head)))
 
 
 def same_parsed(a: Parsed, b: Parsed) -> bool:
@@ -220,19 +219,25 @@ def same_parsed(a: Parsed, b: Parsed) -> bool:
     if not a.words or not b.words:
         return False
     if not (a.clipped or b.clipped):
-        # a code or number on one side only has no partner
-        if any(w not in b.count for w in a.digits) or any(w not in a.count for w in b.digits):
+        of_a, of_b = set(a.words), set(b.words)
+        # a code or number on one side only has no partner, and a name there needs one that differs by a slip
+        if not a.digits <= of_b or not b.digits <= of_a:
             return False
-    only_a, only_b = a.count - b.count, b.count - a.count
+        lone_a, lone_b = of_a - of_b, of_b - of_a
+        for names, lone in ((a.names & lone_a, lone_b), (b.names & lone_b, lone_a)):
+            if any(not any(abs(len(x) - len(y)) < 3 and near_equal(x, y) for y in lone) for x in names):
+                return False
+    count_a, count_b = Counter(a.words), Counter(b.words)
+    only_a, only_b = count_a - count_b, count_b - count_a
     if not only_a and not only_b:
         return True
-    common = a.count & b.count
+    common = count_a & count_b
     n_common = sum(common.values())
     most = max(2, 0.34 * n_common)
     if not (a.clipped or b.clipped) and abs(sum(only_a.values()) - sum(only_b.values())) > most:
         return False
     # a word of both is a name if it is written as one in both
-    named = lambda w: (w in a.names or w not in a.count) and (w in b.names or w not in b.count)
+    named = lambda w: (w in a.names or w not in count_a) and (w in b.names or w not in count_b)
     if not any(named(w) for w in common):
         return False
     for x in list(only_a):
@@ -245,9 +250,9 @@ def same_parsed(a: Parsed, b: Parsed) -> bool:
                     only_b[y] -= 1
     left_a, left_b = +only_a, +only_b
     if b.clipped:
-        left_a = _before_clip(a.words, left_a, b.count)
+        left_a = _before_clip(a.words, left_a, count_b)
     if a.clipped:
-        left_b = _before_clip(b.words, left_b, a.count)
+        left_b = _before_clip(b.words, left_b, count_a)
     if any(named(w) for w in left_a) or any(named(w) for w in left_b):
         return False
     return max(sum(left_a.values()), sum(left_b.values())) <= most
