@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import data_queries, signal_queries
+from tidemark.plans import data_queries, signal_queries, view_queries
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = signal_queries.QUERIES | data_queries.QUERIES
-ORACLE = signal_queries.ORACLE | data_queries.ORACLE
+QUERIES = signal_queries.QUERIES | view_queries.QUERIES | data_queries.QUERIES
+ORACLE = signal_queries.ORACLE | view_queries.ORACLE | data_queries.ORACLE
 
 
 @pytest.fixture(scope="module")

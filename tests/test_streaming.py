@@ -36,4 +36,4 @@ def test_keep_seen_is_insert_only(spark, tmp_path):
     E.keep_seen(s, out, str(tmp_path / "cp")).awaitTermination()
     spark.createDataFrame([("k1", 2), ("k3", 2)], "key string, first int").write.mode("append").parquet(path)
     E.keep_seen(s, out, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("k1", 1), ("k2", 1), ("k3", 2)]
+    assert sorted(map(tuple, spark.read.parquet(out).drop("batch").collect())) == [("k1", 1), ("k2", 1), ("k3", 2)]

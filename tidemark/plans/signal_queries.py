@@ -226,9 +226,13 @@ def region_distribution(spark, sf):
     return marts.filled(marts.mix(signals(spark, sf).withColumn("r", _region()), "r"), _REGS)
 
 
-@query("SELECT source_id, layer FROM (SELECT id AS source_id, CASE " + " ".join(f"WHEN regexp_matches(lower(id),'{p}') THEN '{c}'" for c, p in X.LAYERS) + " ELSE 'official' END AS layer FROM sources)")
+@query("""SELECT id AS source_id, CASE WHEN regexp_matches(lower(id),'google_news|bing_news|news_search|aggregat') THEN 'aggregator'
+ WHEN regexp_matches(lower(id),'crossref|pubmed|clinical|pmda|amed|openfda|patent|research|trial|regulat') THEN 'research_regulatory' WHEN regexp_matches(lower(id),'youtube|multimedia|video|linkedin|wechat|twitter|social') THEN 'social_content'
+ WHEN regexp_matches(lower(id),'linkj|ispark|kinki|firm_|conference|exhibition|channel_event') THEN 'market_channel'
+ WHEN regexp_matches(lower(id),'businesswire|prnewswire|globenewswire|prtimes|nikkei|pharmcube|fierce|biospace|gen_|selectscience|bioprocess|newswire|media') THEN 'wire_media'
+ WHEN NOT contains(lower(id),'official_') AND regexp_matches(lower(id||' '||label||' '||type),'social|media|video') THEN 'social_content' ELSE 'official' END AS layer FROM sources""")
 def source_layers(spark, sf):
-    return read_table(spark, sf, "sources").select(F.col("id").alias("source_id"), X.first_match(F.lower("id"), X.LAYERS, "official").alias("layer"))
+    return read_table(spark, sf, "sources").select(F.col("id").alias("source_id"), X.source_layer(F.col("id"), F.col("label"), F.col("type")).alias("layer"))
 
 
 _ESC = "replace(replace(replace(replace(replace(title,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),chr(39),'&#39;')"
@@ -321,12 +325,12 @@ def merge_duplicates(spark, sf):
 
 def _alias_dim(spark, sf):
     c = read_table(spark, sf, "companies")
-    return c.select(F.col("id").alias("company_id"), F.explode(F.array_distinct("aliases")).alias("term")).filter("term is not null and length(term) >= 4")
+    return c.select(F.col("id").alias("company_id"), F.explode(F.array_distinct("aliases")).alias("term")).filter("trim(term) <> ''")
 
 
 _HIT = """regexp_matches(lower(coalesce(s.title,'')||' '||s.summary), CASE WHEN regexp_matches(t.term,'^[a-z0-9][a-z0-9 .+/-]*$')
  THEN '(^|[^a-z0-9])'||regexp_escape(t.term)||'($|[^a-z0-9])' ELSE regexp_escape(t.term) END) AND contains(lower(coalesce(s.title,'')||' '||s.summary),t.term)"""
-_ALIAS = "a AS (SELECT DISTINCT id AS company_id, lower(x) AS term FROM (SELECT id, unnest(aliases) AS x FROM companies) WHERE length(x)>=4)"
+_ALIAS = "a AS (SELECT DISTINCT id AS company_id, lower(x) AS term FROM (SELECT id, unnest(aliases) AS x FROM companies) WHERE trim(x)<>'')"
 
 
 @query(S + f", {_ALIAS} SELECT DISTINCT s.seq, t.company_id FROM s JOIN a t ON {_HIT}")

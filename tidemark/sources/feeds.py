@@ -64,12 +64,13 @@ def sitemap(payloads: DataFrame, include: list[str] = [], exclude: list[str] = [
 
 
 def filings(payloads: DataFrame, forms: list[str]) -> DataFrame:
-    """Regulator filings: parallel arrays zipped by position; the address has the number without dashes and leading zeros cut."""
+    """Regulator filings of the forms, or of all if none is given: parallel arrays zipped by position; the address has the number without dashes and leading zeros cut."""
     schema = "cik string, filings struct<recent:struct<form:array<string>,accessionNumber:array<string>,primaryDocument:array<string>,primaryDocDescription:array<string>,filingDate:array<string>>>"
     p = payloads.select("source_id", F.from_json("payload", schema).alias("j"))
     r = F.col("j.filings.recent")
     z = F.arrays_zip(r["form"].alias("form"), r["accessionNumber"].alias("no"), r["primaryDocument"].alias("doc"), r["primaryDocDescription"].alias("what"), r["filingDate"].alias("day"))
-    x = p.select("source_id", F.col("j.cik").alias("cik"), F.posexplode(z).alias("pos", "x")).filter(F.col("x.form").isin(*forms))
+    x = p.select("source_id", F.col("j.cik").alias("cik"), F.posexplode(z).alias("pos", "x"))
+    x = x.filter(F.col("x.form").isin(*forms)) if forms else x
     url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace("cik", "^0+", ""), F.lit("/"), F.replace(F.col("x.no"), F.lit("-"), F.lit("")), F.lit("/"), F.col("x.doc"))
     return _ready(x.select("source_id", "pos", F.concat_ws(" ", "x.form", "x.what").alias("title"), url.alias("url"), F.col("x.day").alias("published"), F.lit("").alias("summary")))
 
@@ -244,8 +245,31 @@ def html_links(pages: DataFrame, include: list[str] = [], exclude: list[str] = [
     return _ready(best.select("source_id", "x.pos", "x.title", "x.url", D.source_date(F.coalesce("published", F.lit(""))).alias("published"), F.lit("").alias("summary")))
 
 
+def all_filings(payloads: DataFrame) -> DataFrame:
+    """filings() of every form."""
+    return filings(payloads, [])
+
+
+def channel_videos(payloads: DataFrame) -> DataFrame:
+    """videos() as of the day of the run."""
+    return videos(payloads, F.current_date())
+
+
+def research_pairs(payloads: DataFrame) -> DataFrame:
+    """research_index() of payloads that hold both steps: {"ids": first answer, "records": second answer}."""
+    j = payloads.select("source_id", F.from_json("payload", "ids string, records string").alias("j"))
+    return research_index(j.select("source_id", F.col("j.ids").alias("payload")), j.select("source_id", F.col("j.records").alias("payload")))
+
+
+def page_links(payloads: DataFrame) -> DataFrame:
+    """html_links() of payloads that hold a page and its address: {"base": address, "page": text}."""
+    j = payloads.select("source_id", F.from_json("payload", "base string, page string").alias("j"))
+    return html_links(j.select("source_id", "j.base", F.col("j.page").alias("payload")))
+
+
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rss": rss, "atom": atom, "sitemap_urls": sitemap, "openfda": recalls, "crossref": doi_records, "clinical_trials": studies,
+    "youtube_channel": channel_videos, "sec_submissions": all_filings, "pubmed": research_pairs, "html_links": page_links,
 }
 
 
@@ -263,6 +287,12 @@ def collect(sources: DataFrame, payloads: DataFrame, parsers: dict[str, Callable
     return items, none.unionByName(unknown).unionByName(empty)
 
 
+def raw_counts(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """(source_id, raw): items of each enabled source before any gate, none included."""
+    src = sources.filter(F.coalesce("enabled", F.lit(True))).select(F.col("id").alias("source_id")).distinct()
+    return src.join(items.groupBy("source_id").agg(F.count(F.lit(1)).alias("raw")), "source_id", "left").na.fill(0, ["raw"])
+
+
 def numbered(items: DataFrame) -> DataFrame:
     """items with seq, their order within the source."""
     return items.withColumn("seq", F.row_number().over(Window.partitionBy("source_id").orderBy("pos")))

@@ -21,15 +21,17 @@ def daily_counts(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
 
 
 def keep_seen(stream: DataFrame, path: str, checkpoint: str, key: str = "key") -> StreamingQuery:
-    """Each micro-batch adds its unseen keys to the store at path; rows already there are never changed."""
+    """Each micro-batch adds its unseen keys to the store at path; rows already there are never changed.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    A batch has a folder of its own, batch=N, that a retry of the same batch overwrites, and is compared with earlier batches only.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(path)
-        except Exception:
-            seen = batch.limit(0)
-        fresh = upsert_seen(seen.limit(0), batch.join(seen.select(key), key, "left_anti"), key)
-        fresh.write.mode("append").parquet(path)
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+        seen = spark.read.parquet(path).filter(F.col("batch") < number).select(key) if there else batch.limit(0).select(key)
+        fresh = upsert_seen(batch.limit(0), batch.join(seen, key, "left_anti"), key)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
