@@ -36,6 +36,7 @@ def test_rows_and_limits(spark):
     got = {r.doc_id: r for r in T.truncated(df, "doc_id", "text", "source").collect()}
     cut = {k for k, t, _ in rows[:300] if len(t) == 500 and not t.rstrip().endswith(".")}
     assert cut and {k for k in got if k < 300 and got[k].cut} == cut
-    assert all(got[k].at_limit for k in cut)
+    assert all(got[k].at_limit and got[k].rule == "limit" for k in cut)
+    assert got[1003].rule == "ending" and got[1000].rule is None
     assert [got[k].cut for k in (1000, 1001, 1002, 1003, 1004, 1005)] == [False, False, False, True, False, True]
     assert T.truncated(df.limit(0), "doc_id", "text", "source").count() == 0

@@ -70,6 +70,11 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p9_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source and rule: the documents cut by it. limit is the histogram's share, ending that of cuts at no limit."""
+    return _truncated(spark, sf).filter("cut").groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _members(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.resolve(read_table(spark, sf, "companies"), read_table(spark, sf, "company_relationships"))
 
@@ -84,5 +89,5 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(m.groupBy("entity").agg(F.count(F.lit(1)).alias("n_records")), "entity")
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p9_found": p9_found, "p9_rates": p9_rates, "p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p9_found": p9_found, "p9_rates": p9_rates, "p9_rules": p9_rules, "p8_found": p8_found, "p8_items": p8_items, "p7_ids": p7_ids, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE: dict[str, str] = {}

@@ -1,9 +1,11 @@
-"""Text cut off by field limits: how each text ends, and at which lengths a source's texts pile up.
+"""Text cut off by field limits: at which lengths a source's texts pile up, and how each text ends.
 
-Per source the lengths of all texts, in characters and in UTF-8 bytes, are counted; a length that occurs far more often than
-its neighbours is a field limit. Texts at such a length that do not end as a sentence are cut. A text may also be cut in
-transfer, at any length, so every prose text's end is judged: a broken character, tag or entity, dots added at the break,
-or a last line that stops inside a sentence and is none of the ends that complete texts have without a full stop.
+Two rules, kept apart. limit: per source the lengths of all texts, in characters and in UTF-8 bytes, are counted; a length
+that occurs far more often than its neighbours is a field limit, the greatest length that a cut text has there, and every
+prose text at it without terminal punctuation is cut, whatever its end looks like otherwise. ending: a text may also be cut
+in transfer, at any length, which no histogram can show; so a prose text elsewhere is cut if it ends in a broken character,
+tag or entity, in dots added at the break, or in a last line that stops inside a sentence and is none of the ends that
+complete texts have without a full stop.
 
 The histograms are pre-aggregated per (source, length), so a hot source is as many rows as it has lengths; texts pass
 through Python once, in whole, and are never shuffled.
@@ -115,22 +117,21 @@ CUT_ENDS = ("dots", "broken", "open")
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ends = []
+        ends, stops = [], []
         for t in b["text"]:
-            if t is None or not t.strip() or not prose(t):
-                ends.append("none")
-            else:
-                ends.append(ending(t))
+            some = t is not None and t.strip() != "" and prose(t)
+            ends.append(ending(t) if some else "none")
+            stops.append(some and bool(_TERMINAL.search(t)) and not _DOTS.search(t))
         yield pd.DataFrame(
-            {"key": b["key"], "source": b["source"], "ends": ends, "chars": [None if t is None else len(t) for t in b["text"]], "bytes": [None if t is None else len(t.encode("utf-8", "replace")) for t in b["text"]]}
+            {"key": b["key"], "source": b["source"], "ends": ends, "stop": stops, "chars": [None if t is None else len(t) for t in b["text"]], "bytes": [None if t is None else len(t.encode("utf-8", "replace")) for t in b["text"]]}
         )
 
 
 def judged(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, ends, chars, bytes) of each row; ends is none for null, empty, blank and non-prose texts."""
+    """(key, source, ends, stop, chars, bytes) of each row; stop: terminal punctuation; ends is none for null, empty, blank and non-prose texts."""
     kind = dict(rows.dtypes)[key]
     r = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return r.mapInPandas(_judge, f"key {kind}, source string, ends string, chars long, bytes long")
+    return r.mapInPandas(_judge, f"key {kind}, source string, ends string, stop boolean, chars long, bytes long")
 
 
 def spikes(lengths: DataFrame) -> DataFrame:
@@ -143,10 +144,10 @@ def spikes(lengths: DataFrame) -> DataFrame:
 
 
 def truncated(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, ends, at_limit, cut): every row, with whether its length is a limit of its source and whether it was cut.
+    """(key, source, ends, at_limit, rule, cut): every row, with whether its length is a limit of its source, the rule by which it is cut, and whether it is.
 
-    A text at a limit is cut unless it ends as a sentence or is no prose; any other is cut if it ends with dots, broken or
-    open. Null, empty, blank and non-prose texts are never cut. A null source is one source. Rows of equal key are judged
+    rule: limit (prose at a limit without terminal punctuation), else ending (ends with dots, broken or open), else null.
+    Null, empty, blank and non-prose texts are never cut. A null source is one source. Rows of equal key are judged
     alike; an empty table gives no rows, rows without a key are left out.
     """
     j = stored(judged(rows, key, text, source), "judged")
@@ -155,5 +156,6 @@ def truncated(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
     limit_b = small_side(s.filter("unit = 'bytes'").select("_s", F.col("length").alias("bytes"), F.lit(True).alias("_b")))
     j = j.withColumn("_s", F.coalesce("source", F.lit(""))).join(limit_c, ["_s", "chars"], "left").join(limit_b, ["_s", "bytes"], "left")
     at = F.coalesce(F.col("_c") | F.col("_b"), F.col("_c"), F.col("_b"), F.lit(False))
-    cut = (F.col("ends") != "none") & (F.col("ends").isin(*CUT_ENDS) | (at & (F.col("ends") != "sentence")))
-    return j.select(F.col("key").alias(key), "source", "ends", at.alias("at_limit"), cut.alias("cut"))
+    prose_ = F.col("ends") != "none"
+    rule = F.when(prose_ & at & ~F.col("stop"), "limit").when(F.col("ends").isin(*CUT_ENDS), "ending")
+    return j.select(F.col("key").alias(key), "source", "ends", at.alias("at_limit"), rule.alias("rule"), rule.isNotNull().alias("cut"))
