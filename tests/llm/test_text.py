@@ -21,6 +21,15 @@ def test_mixed_tokens_and_repair():
     assert X.repair("Xedelonοnor", set()) == "Xedelononor"
 
 
+def test_dominant_script():
+    assert X.mixed_tokens("сахаp") == [("сахаp", "сахар", False), ("сахаp", "caxap", False)]
+    assert X.repaired("сахаp", set()) == ("сахаp", False, False)
+    assert X.repaired("сахаp", {"сахар", "caxap"}) == ("сахар", False, False)
+    assert X.repaired("Росhе", {"poche"}) == ("Poche", True, False)
+    assert X.repaired("контрoль", {"контроль"}) == ("контроль", False, False)
+    assert X.repaired("оf сell", {"of"}) == ("of cell", True, True)
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "k long, t string, s string").selectExpr("*", "'clash' as id", "'clash' as value", "array('x') as kinds")
 
@@ -30,7 +39,7 @@ def test_operator_nulls_repeats_clashes_long(spark):
     rows = [(1, "plain", None), (2, "", "a b"), (3, "сell", "pαnel of pαnels"), (3, "сell", "pαnel of pαnels"), (4, long, "the panel"), (5, "TNFα", "Цена"), (None, "сell", "a b")]
     got = {(r.id, r.field): (sorted(r.kinds), r.clean) for r in lookalikes.repaired(table(spark, rows), "k", ["t", "s"]).collect()}
     assert set(got) == {(2, "s"), (3, "t"), (3, "s"), (4, "t")}
-    assert got[2, "s"] == (["space"], "a b") and got[3, "t"] == (["lookalike"], "cell")
+    assert got[2, "s"] == (["space"], "a b") and got[3, "t"] == (["lookalike", "unproven"], "cell")
     assert got[3, "s"] == (["lookalike"], "panel of pαnels") and got[4, "t"][1].endswith("word site")
     every = lookalikes.consistent(table(spark, rows), "k", ["t", "s"])
     assert every.count() == 9

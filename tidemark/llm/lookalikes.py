@@ -1,10 +1,11 @@
 """Visually identical text with different characters: find the values concerned and bring them to one form.
 
-Only values with a character outside the ordinary ones leave the JVM. Their mixed-script tokens are looked up in the
-corpus vocabulary: the distinct Latin forms (few) are joined with the words of the whole corpus, so no vocabulary is
-ever held in one place; the planner broadcasts the forms only while they are small. A look-alike letter is substituted
-if the Latin form of its token occurs in the corpus, or if it has no use of its own beside Latin letters (all Cyrillic
-ones and the Greek capitals and omicron): two differently mixed spellings of an otherwise unknown name must become equal.
+Only values with a character outside the ordinary ones reach Python objects. Of each token of several scripts the dominant
+one is determined, and its forms in one script are looked up in the corpus vocabulary: the distinct forms (few) are joined
+with the words of the whole corpus, so no vocabulary is ever held in one place; the planner broadcasts the forms only while
+they are small. A look-alike is substituted if the form occurs in the corpus, or, in a token dominated by Latin, if the letter
+has no use of its own beside Latin letters (all Cyrillic ones and the Greek capitals and omicron): two differently mixed
+spellings of an otherwise unknown name must become equal. Such values bear the kind "unproven" too.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 from tidemark.llm import text as X
 from tidemark.session import small_side, stored
 
+REPAIRED = T.StructType([T.StructField("clean", T.StringType()), T.StructField("latin", T.BooleanType()), T.StructField("unproven", T.BooleanType())])
+
 
 def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
@@ -30,15 +33,15 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "field": b["field"],
                 "folded": [f for f, _ in folded],
                 "kinds": [sorted(k) for _, k in folded],
-                "forms": [sorted({latin.lower() for _, latin, _ in m}) for m in mixed],
-                "certain": [any(sure for _, _, sure in m) for m in mixed],
+                "forms": [sorted({form.lower() for _, form, _ in m}) for m in mixed],
             }
         )
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(folded: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([X.squeeze(X.repair(f, set(k) if k is not None else set())) for f, k in zip(folded, known)])
+@F.pandas_udf(REPAIRED)
+def _repaired(folded: pd.Series, known: pd.Series) -> pd.DataFrame:
+    out = [X.repaired(f, set(k) if k is not None else set()) for f, k in zip(folded, known)]
+    return pd.DataFrame([(X.squeeze(c), a, b) for c, a, b in out], columns=["clean", "latin", "unproven"])
 
 
 def values(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -50,12 +53,17 @@ def values(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def repaired(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, kinds, clean): a row per key and field whose value holds such characters, with the kinds found and its one form.
 
-    kinds: compat, marks, invisible, space, hyphen, lookalike. Null and empty values have no row; a key that occurs in
+    kinds: compat, marks, invisible, space, hyphen, lookalike, and unproven beside lookalike. Null and empty values have no row; a key that occurs in
     repeated equal rows comes out once; an empty table gives an empty result.
     """
+    return _all_repaired(rows, key, fields).filter(F.size("kinds") > 0)
+
+
+def _all_repaired(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """repaired(), with the values that were looked at but are no case: their kinds are empty."""
     v = values(rows, key, fields)
     seen = v.filter(X.suspect(F.col("value"))).dropDuplicates(["id", "field"])
-    schema = f"id {dict(rows.dtypes)[key]}, field string, folded string, kinds array<string>, forms array<string>, certain boolean"
+    schema = f"id {dict(rows.dtypes)[key]}, field string, folded string, kinds array<string>, forms array<string>"
     seen = stored(seen.mapInPandas(_inspect, schema), "inspected")
     forms = stored(seen.select(F.explode("forms").alias("word")).distinct(), "forms")
     words = v.select(F.explode(F.split(F.lower("value"), X.NOT_WORD)).alias("word"))
@@ -68,14 +76,15 @@ def repaired(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
         .agg(F.collect_set("word").alias("known"))
     )
     done = seen.join(by_row, ["id", "field"], "left")
-    look = F.col("certain") | (F.size(F.coalesce("known", F.array().cast("array<string>"))) > 0)
-    kinds = F.concat("kinds", F.when(look, F.array(F.lit("lookalike"))).otherwise(F.array().cast("array<string>")))
-    return done.select("id", "field", kinds.alias("kinds"), _repaired("folded", "known").alias("clean")).filter(F.size("kinds") > 0)
+    done = done.select("id", "field", "kinds", _repaired("folded", "known").alias("x"))
+    more = lambda c, kind: F.when(F.col(c), F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+    kinds = F.concat("kinds", more("x.latin", "lookalike"), more("x.unproven", "unproven"))
+    return done.select("id", "field", kinds.alias("kinds"), F.col("x.clean").alias("clean"))
 
 
 def consistent(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, clean): every value of every row in its one form; values without such characters only have their spaces squeezed."""
     v = values(rows, key, fields).dropDuplicates(["id", "field"])
-    fixed = repaired(rows, key, fields).select("id", "field", F.col("clean").alias("_clean"))
+    fixed = _all_repaired(rows, key, fields).select("id", "field", F.col("clean").alias("_clean"))
     plain = F.trim(F.regexp_replace("value", r"\s+", " "))
     return v.join(fixed, ["id", "field"], "left").select("id", "field", F.coalesce("_clean", plain).alias("clean"))

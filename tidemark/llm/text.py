@@ -109,28 +109,55 @@ def _beside_cjk(text: str, i: int) -> bool:
     return any(_CJK.match(x) and not "０" <= x <= "ｚ" for x in near)
 
 
+#: Latin letters and the Cyrillic ones that look like them.
+TO_CYRILLIC = {latin: c for c, latin in CYRILLIC.items()}
+_CYRILLIC = re.compile(r"[Ѐ-ԯ]")
+
+
 def mixed_tokens(text: str) -> list[tuple[str, str, bool]]:
-    """(token, its Latin form, certain) of each token of letters in which all non-Latin letters are look-alikes beside Latin ones.
+    """(token, a form of it in one script, certain) of each token of letters of several scripts that look-alikes explain.
 
-    certain: each of these letters has no use of its own within Latin words, so that the form needs no proof.
+    The dominant script of a token is that of most of its letters, Latin if two have as many. A token dominated by Latin has
+    its Latin form, if all its other letters are look-alikes. One dominated by Cyrillic has its Cyrillic form, if all
+    its Latin letters are look-alikes, and after that its Latin form, if its other letters are; neither is ever certain.
+    certain: each substituted letter has no use of its own within Latin words, so that the form needs no proof.
     """
     if not _FOREIGN.search(text):
         return []
     found = []
     for m in _LETTERS.finditer(text):
         t = m.group()
-        foreign = _FOREIGN.findall(t)
-        if not foreign or not _LATIN.search(t):
+        foreign, latin = _FOREIGN.findall(t), _LATIN.findall(t)
+        if not foreign or not latin:
             continue
+        cyrillic = _CYRILLIC.findall(t)
+        dominant = len(latin) >= len(foreign)
+        if not dominant and len(cyrillic) == len(foreign) and all(c in TO_CYRILLIC for c in latin):
+            found.append((t, "".join(TO_CYRILLIC.get(c, c) for c in t), False))
         if all(c in LOOKALIKE for c in foreign):
-            found.append((t, "".join(LOOKALIKE.get(c, c) for c in t), all(c in CERTAIN for c in foreign)))
+            found.append((t, "".join(LOOKALIKE.get(c, c) for c in t), dominant and all(c in CERTAIN for c in foreign)))
     return found
 
 
+def repaired(text: str, known: set[str]) -> tuple[str, bool, bool]:
+    """(text, whether letters stood in for Latin ones, whether some of them without proof).
+
+    Of a mixed token the first form that is in known (lower case) or certain takes its place; a certain form that isn't known is without proof.
+    """
+    forms: dict[str, str] = {}
+    stood_in, unproven = False, False
+    for t, form, sure in mixed_tokens(text):
+        proven = form.lower() in known
+        if t not in forms and (sure or proven):
+            forms[t] = form
+            if not _FOREIGN.search(form):
+                stood_in, unproven = True, unproven or not proven
+    return (_LETTERS.sub(lambda m: forms.get(m.group(), m.group()), text) if forms else text), stood_in, unproven
+
+
 def repair(text: str, known: set[str]) -> str:
-    """Look-alikes substituted in mixed tokens whose Latin form is in known (lower case), or that are certain."""
-    forms = {t: latin for t, latin, sure in mixed_tokens(text) if sure or latin.lower() in known}
-    return _LETTERS.sub(lambda m: forms.get(m.group(), m.group()), text) if forms else text
+    """text as repaired() gives it."""
+    return repaired(text, known)[0]
 
 
 _SPACES = re.compile(r"\s+")
