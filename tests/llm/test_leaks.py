@@ -46,8 +46,18 @@ def test_edges(spark):
     assert run(spark, docs, []).count() == 0 and run(spark, [], items).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_WORDS", 20)
+def test_sketch_only_spares_work(spark, monkeypatch):
     texts = [" ".join(f"i{i}w{k}" for k in range(15)) for i in range(5)]
-    got = {(r.doc_id, r.item_id) for r in run(spark, list(enumerate(texts)), list(enumerate(texts))).collect()}
-    assert got == {(i, i) for i in range(5)}
+    docs = list(enumerate(texts)) + [(9, " ".join(f"i{k % 5}w{k % 15}" for k in range(200)))]
+    want = {(i, i) for i in range(5)}
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, list(enumerate(texts))).collect()} == want
+    full = L.S.table
+    monkeypatch.setattr(L.S, "table", lambda p: full(p) * 0 + 1)
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, list(enumerate(texts))).collect()} == want
+
+
+def test_one_passage_in_a_third_of_all_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(13))
+    docs = [(k, f"a{k} b{k} " + (passage if k % 3 == 0 else "other words " * 6)) for k in range(300)]
+    got = run(spark, docs, [(1, "x y " + passage), (2, "p1 p2 p3 p4 p5 p6 p7 p8 p9 q p10 p11 p12")])
+    assert {(r.doc_id, r.item_id, r.run) for r in got.collect()} == {(k, 1, 13) for k in range(0, 300, 3)}

@@ -1,11 +1,15 @@
 """Evaluation passages inside a corpus: documents that hold at least RUN consecutive words of an item.
 
-The items are a query set and go over the corpus in blocks of bounded size. A window of RUN words has RUN - 4 shingles of
-five words, all of which a document that holds it must have. The corpus frequency of every item shingle is counted first;
-windows with a shingle the corpus lacks are dropped, and of each other window only the rarest shingle - its necessary
-prefix - is looked up. A document too short for a window is skipped (length bound); a hit is extended word by word to both
-sides from its position (positional bound, exact verification) and counts if the run reaches RUN words. Documents are
-never shuffled: both passes are scans with a sorted array of bounded size; only counts and hits move.
+A prefix-filtered join on shingles of five words; items and corpus may both be of any size, and each is read once. A window
+of RUN words has NEED = RUN - 4 shingles, all of which a document that holds it must have.
+1. A presence sketch of fixed size (4 MB) of the items' shingles is broadcast; a document's shingles that pass it are
+   written with their places. It only spares work: what passes is joined exactly.
+2. The corpus frequency of every item shingle is counted from these; windows with a shingle that the corpus lacks are dropped,
+   and of each other window only the rarest shingle - its necessary prefix - is joined with the documents (length bound:
+   texts of fewer than RUN words have no shingles here).
+3. A hit fixes how the item lies on the document (positional bound). The item's shingles are laid along it and joined with
+   the document's own at exactly these places; NEED consecutive ones are RUN words, so runs are exact.
+Only shingles move, never texts; a frequent shingle is the prefix of a window only if all its others are more frequent still.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import sketch as S
-from tidemark.llm.text import comparable_column, word_hashes
+from tidemark.llm import words as W
+from tidemark.session import drop_stored, small_side, stored
 
 SHINGLE = 5
 RUN = 12
-#: Words of items broadcast at once (8 bytes each).
-BLOCK_WORDS = 1_000_000
+NEED = RUN - SHINGLE + 1
 
 
 def shingles(w: np.ndarray) -> np.ndarray:
@@ -38,123 +43,36 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return S.mix(x)
 
 
-class Items:
-    """A block of items: their words one after another, and their distinct shingles in order."""
-
-    def __init__(self, ids: list[int], words: list[np.ndarray]):
-        self.ids = np.array(ids, np.int64)
-        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        self.start = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
-        per = [shingles(w) for w in words]
-        self.shingle = np.unique(np.concatenate(per)) if per else np.zeros(0, np.uint64)
-        self.per = per
-
-    def prefixes(self, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shingle hashes, word positions), sorted by hash: the rarest shingle of each window that the corpus may hold."""
-        need = RUN - SHINGLE + 1
-        out: set[tuple[int, int]] = set()
-        for k, s in enumerate(self.per):
-            if len(s) < need:
-                continue
-            f = df[np.searchsorted(self.shingle, s)].astype(np.float64)
-            windows = np.lib.stride_tricks.sliding_window_view(f, need)
-            ok = np.flatnonzero(windows.min(axis=1) > 0)
-            at = ok + windows[ok].argmin(axis=1)
-            out.update((int(s[p]), int(self.start[k] + p)) for p in np.unique(at))
-        pairs = sorted(out)
-        return np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
-
-
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Items]:
-    rows = items.select(F.col(key).cast("long").alias("id"), word_hashes(comparable_column(F.col(text))).alias("w"))
-    rows = rows.filter((F.size("w") >= RUN) & F.col("id").isNotNull()).dropDuplicates(["id"])
-    ids, words, size = [], [], 0
-    for r in rows.toLocalIterator():
-        w = np.array(r["w"], np.int64).view(np.uint64)
-        ids.append(r["id"])
-        words.append(w)
-        size += len(w)
-        if size >= BLOCK_WORDS:
-            yield Items(ids, words)
-            ids, words, size = [], [], 0
-    if ids:
-        yield Items(ids, words)
-
-
-def _found(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_, x)
-    at[at == len(sorted_)] = 0
-    return np.where(sorted_[at] == x, at, -1) if len(sorted_) else np.full(len(x), -1)
-
-
-def _count(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            v, n = S.flatten(b.column("w"))
-            s, ok = _batch_shingles(v, n)
-            at = _found(known, s[ok])
-            total += np.bincount(at[at >= 0], minlength=len(known))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(total[k])], names=["k", "n"])
-
-    return run
-
-
-def _batch_shingles(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles at each position of the batch's words, whether the shingle lies within one row)."""
+def _places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, rows, places in words) of the rows of at least RUN words."""
+    v, n = W.hashed(W.comparables(text))
     s = shingles(v)
-    end = np.repeat(np.cumsum(n), n)
-    ok = np.arange(len(s)) + SHINGLE <= end[: len(s)]
-    return s, ok
+    row = np.repeat(np.arange(len(n)), n)[: len(s)]
+    first = np.r_[0, np.cumsum(n)]
+    at = np.arange(len(s))
+    ok = (at + SHINGLE <= first[row + 1]) & (n[row] >= RUN)
+    return s[ok], row[ok], (at - first[row])[ok]
+
 
+def _placed(sketch=None):
+    """A mapInArrow function: (key, text) to (s, key, at), a row per shingle that the sketch, if there is one, has."""
 
-def _probe(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, start, keys, where = shared.value
-        low, high = start[:-1], start[1:]
         for b in batches:
-            v, n = S.flatten(b.column("w"))
-            s, ok = _batch_shingles(v, n)
-            docs = b.column("key").to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(n)), n)
-            first = np.r_[0, np.cumsum(n)]
-            hit = np.flatnonzero(ok & (n[row[: len(s)]] >= RUN))
-            lo, hi = np.searchsorted(keys, s[hit], "left"), np.searchsorted(keys, s[hit], "right")
-            longest: dict[tuple[int, int], int] = {}
-            done: dict[tuple[int, int, int], int] = {}
-            for h in np.flatnonzero(hi > lo):
-                p = int(hit[h])
-                r = int(row[p])
-                for q in where[lo[h] : hi[h]].tolist():
-                    item = int(np.searchsorted(start, q, "right")) - 1
-                    # a run is one diagonal; shingles within a run already measured are skipped
-                    diagonal = (r, item, p - q)
-                    if done.get(diagonal, -1) >= p:
-                        continue
-                    back = min(p - first[r], q - low[item])
-                    ahead = min(first[r + 1] - p, high[item] - q)
-                    left = v[p - back : p][::-1] == words[q - back : q][::-1]
-                    right = v[p : p + ahead] == words[q : q + ahead]
-                    a = len(left) if left.all() else int(left.argmin())
-                    z = len(right) if right.all() else int(right.argmin())
-                    done[diagonal] = p + z
-                    if a + z >= RUN:
-                        longest[r, item] = max(longest.get((r, item), 0), a + z)
-            if longest:
-                k = list(longest)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs[[r for r, _ in k]]), pa.array(ids[[i for _, i in k]]),
-                        pa.array([longest[x] for x in k], pa.int32()), pa.array([int(high[i] - low[i]) for _, i in k], pa.int32()),
-                    ],
-                    names=["key", "item_id", "run", "item_words"],
-                )
+            s, row, at = _places(b.column("text"))
+            if sketch is not None:
+                ok = sketch.value[S.slots(s)] > 0
+                s, row, at = s[ok], row[ok], at[ok]
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column("key").take(pa.array(row)), pa.array(at.astype(np.int32))], names=["s", "key", "at"])
 
     return run
 
 
+def _shingle_slots(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("s").to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_id, run, item_words): documents that hold at least RUN consecutive words of an item, with the longest run.
 
@@ -162,18 +80,32 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     match nothing; repeated rows of a key come out once; documents are read whole; with no items the result is empty;
     documents and items without a key are left out.
     """
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
-    schema = f"key {kind}, item_id long, run int, item_words int"
-    w = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_hashes(comparable_column(F.col(text))).alias("w"))
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(block.shingle)
-        df = np.zeros(len(block.shingle), np.int64)
-        for r in w.mapInArrow(_count(shared), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-            df[r["k"]] = r["n"]
-        keys, where = block.prefixes(df)
-        probe = spark.sparkContext.broadcast((block.ids, block.words, block.start, keys, where))
-        out = out.unionByName(w.mapInArrow(_probe(probe), schema))
-    best = out.groupBy("key", "item_id").agg(F.max("run").alias("run"), F.max("item_words").alias("item_words"))
-    return best.withColumnRenamed("key", key)
+    i = items.select(F.col(item_key).cast("long").alias("key"), F.col(item_text).alias("text")).filter("key is not null").dropDuplicates(["key"])
+    i = stored(i.mapInArrow(_placed(), "s long, key long, at int").withColumnsRenamed({"key": "item_id", "at": "i_at"}), "item_shingles")
+    partials = stored(i.select("s").mapInArrow(S.slot_counter(_shingle_slots), S.PARTIAL_SCHEMA), "partials")
+    sketch = docs.sparkSession.sparkContext.broadcast(S.table(partials))
+    drop_stored(partials)
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
+    d = d.mapInArrow(_placed(sketch), f"s long, key {kind}, at int")
+    d = stored(d.join(small_side(stored(i.select("s").distinct(), "shingles")), "s", "left_semi").distinct(), "hits")
+
+    # the rarest shingle of each window of the items that the corpus may hold
+    n = d.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("item_id").orderBy("i_at").rowsBetween(0, NEED - 1)
+    known = i.join(small_side(stored(n, "frequencies")), "s", "left")
+    rarest = F.min(F.struct("n", "i_at", "s")).over(w)
+    # a null, a shingle the corpus lacks, would not be counted
+    prefix = known.select("item_id", rarest.alias("x"), F.count("n").over(w).alias("full")).filter(F.col("full") == NEED)
+    prefix = stored(prefix.select("item_id", F.col("x.i_at").alias("i_at"), F.col("x.s").alias("s")).distinct(), "prefixes")
+    lies = d.join(small_side(prefix), "s").select("key", "item_id", (F.col("at") - F.col("i_at")).alias("shift")).distinct()
+    lies = stored(lies, "lies")
+
+    # the item's shingles where the hit puts them, of which the document has how many in a row
+    laid = lies.join(small_side(i), "item_id").select("key", "item_id", "shift", "s", (F.col("i_at") + F.col("shift")).alias("at"))
+    own = laid.join(d, ["key", "s", "at"], "left_semi")
+    along = Window.partitionBy("key", "item_id", "shift").orderBy("at")
+    runs = own.withColumn("_g", F.col("at") - F.row_number().over(along)).groupBy("key", "item_id", "shift", "_g").agg(F.count(F.lit(1)).alias("n"))
+    best = runs.filter(F.col("n") >= NEED).groupBy("key", "item_id").agg((F.max("n") + SHINGLE - 1).cast("int").alias("run"))
+    size = i.groupBy("item_id").agg((F.max("i_at") + SHINGLE).cast("int").alias("item_words"))
+    return best.join(small_side(stored(size, "sizes")), "item_id").select(F.col("key").alias(key), "item_id", "run", "item_words")
