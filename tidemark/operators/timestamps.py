@@ -4,10 +4,12 @@ Every value gets an array of all its valid interpretations (notation, instant, c
 Viterbi pass over the record order of the value's source chooses: a change of notation and a step back in time cost
 extra. A source's declared locale outweighs any such cost, as the data's definition demands.
 
-Scale: parsing stays in the JVM and needs no shuffle. Records are cut into blocks of one source and one UTC day, so no
-task holds a source. Blocks with a choice to make are reduced to a min-plus matrix between the interpretations of their
-first and last record, blocks without one to their two end states; the matrices of a source (one row per day) are
-chained, and each block is then solved between its chosen ends. This equals the Viterbi pass over the whole source.
+Scale: parsing stays in the JVM and needs no shuffle. Records are cut into blocks of one source and one UTC day, and days of
+many records on into blocks of about BLOCK_ROWS, so no task holds a source or a backfilled day. Blocks with a choice to
+make are reduced to a min-plus matrix between the interpretations of their first and last record, blocks without one to
+their two end states. A record with one interpretation parts what comes before from what comes after, so the matrices are
+chained run by run, between blocks without a choice, and each block is then solved between its chosen ends. This equals the
+Viterbi pass over the whole source.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import zoneinfo
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.session import small_side, stored
 
@@ -39,7 +42,8 @@ MONTHS = {
 ZONES = {
     "z": 0, "gmt": 0, "utc": 0, "ut": 0, "wet": 0, "bst": 60, "west": 60, "cet": 60, "cest": 120, "eet": 120, "eest": 180,
     "msk": 180, "jst": 540, "kst": 540, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360,
-    "pst": -480, "pdt": -420,
+    "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600, "ast": -240, "adt": -180, "brt": -180, "art": -180,
+    "ist": 330, "sgt": 480, "hkt": 480, "pht": 480, "awst": 480, "acst": 570, "aest": 600, "aedt": 660, "nzst": 720, "nzdt": 780,
 }
 # Seconds of the units of relative times.
 UNITS = {
@@ -47,6 +51,8 @@ UNITS = {
     "秒": 1, "分": 60, "時間": 3600, "日": 86400, "週間": 604800,
 }
 
+#: Records of a block, beyond which a day is cut on.
+BLOCK_ROWS = 2000
 SWITCH_COST, BACK_COST_A_DAY, BACK_COST_MOST, LOCALE_COST = 1.0, 0.05, 2.0, 100.0
 
 def _lookup(pairs: dict, key: Column) -> Column:
@@ -68,7 +74,7 @@ NOTATIONS = {
     "ago": r"^\d{1,6} ?(?:second|sec|minute|min|hour|hr|day|week)s? ago$",
     "ago_ja": r"^\d{1,6} ?(?:秒|分|時間|日|週間)前$",
 }
-_ZONE = r"\s?(z|[+-]\d{2}:?\d{2}|utc[+-]\d{1,2}|[a-z]{2,4})$"
+_ZONE = r"\s?(z|[+-]\d{2}:?\d{2}|(?:utc|gmt)[+-]\d{1,2}|[a-z]{2,4})$"
 _NOT_ZONE = r"(?:am|pm|uhr|ago)$"
 
 
@@ -203,7 +209,7 @@ def _block_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Over the blocks of one source: the states in which the cheapest path enters and leaves each block.
+    """Over a run of a source's blocks: the states in which the cheapest path enters and leaves each block.
 
     Between two blocks of single readings there is nothing to choose, so only open blocks and their neighbours cost work.
     """
@@ -249,6 +255,23 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_key": [x[0] for x in ok], "_at": [x[1] for x in ok], "_fmt": [x[2] for x in ok]}).astype({"_key": "int64", "_at": "int64"})
 
 
+def _blocked(r: DataFrame) -> DataFrame:
+    """r with _block: a source's records in order, cut by day and days of more than BLOCK_ROWS records cut on, by time or, where all have one time, by key."""
+    day = F.coalesce(F.to_date("_seq"), F.lit("1970-01-01").cast("date"))
+    at = F.coalesce(F.unix_micros("_seq"), F.lit(0))
+    r = r.withColumns({"_day": F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long"), "_us": at})
+    d = r.groupBy("_src", "_day").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.min("_key").alias("_klo"), F.max("_key").alias("_khi")
+    )
+    d = d.filter(F.col("_rows") > BLOCK_ROWS)
+    r = r.join(small_side(stored(d, "days")), ["_src", "_day"], "left")
+    timed = F.col("_hi") > F.col("_lo")
+    v, lo, hi = F.when(timed, F.col("_us")).otherwise(F.col("_key")), F.when(timed, F.col("_lo")).otherwise(F.col("_klo")), F.when(timed, F.col("_hi")).otherwise(F.col("_khi"))
+    part = F.floor((v - lo).cast("double") / (hi - lo + 1).cast("double") * F.ceil(F.col("_rows") / BLOCK_ROWS))
+    block = F.col("_day") * F.lit(1 << 20) + F.least(F.coalesce(part, F.lit(0)), F.lit((1 << 20) - 1))
+    return r.withColumn("_block", block.cast("long")).drop("_day", "_us", "_rows", "_lo", "_hi", "_klo", "_khi")
+
+
 def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, source: str, fetched: str) -> DataFrame:
     """(key, at, fmt): one row per key whose value has a valid reading; at in seconds since 1970 UTC.
 
@@ -264,7 +287,7 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     r = r.select("_key", F.coalesce("_sid", F.lit("")).alias("_src"), F.col("_fetched").alias("_seq"), "_readings")
     # written first: a filter over the readings would be pushed down and inline all of the parsing several times
     r = stored(r, "readings").filter(F.size("_readings") > 0).withColumn("_n", F.size("_readings"))
-    r = r.withColumn("_block", F.coalesce(F.to_date("_seq"), F.lit("1970-01-01").cast("date")))
+    r = _blocked(r)
     one = r.filter(F.col("_n") == 1).select("_key", F.col("_readings")[0]["at"].alias("_at"), F.col("_readings")[0]["fmt"].alias("_fmt"))
 
     order = F.struct("_seq", "_key")
@@ -276,13 +299,21 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
     cols = inside.select("_src", "_block", "_seq", "_key", "_n", *_flat("_readings", "_r"))
     # spread by number: by size alone these few bytes of much work would be put into one task
     spread = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    matrices = cols.repartition(spread, "_src", "_block").groupBy("_src", "_block").applyInPandas(_block_matrix, "_src string, _block date, _matrix array<double>")
+    matrices = cols.repartition(spread, "_src", "_block").groupBy("_src", "_block").applyInPandas(_block_matrix, "_src string, _block long, _matrix array<double>")
+    # a block of single readings fixes the path, so a chain is a run of open blocks between two such, which it shares with its neighbours
+    along = Window.partitionBy("_src").orderBy("_block")
+    runs = blocks.withColumns({
+        "_run": F.count_if(~F.col("_open")).over(along.rowsBetween(Window.unboundedPreceding, 0)),
+        "_before": F.lag("_open", 1, False).over(along), "_after": F.lead("_open", 1, False).over(along),
+    })
+    runs = stored(runs.filter("_open or _before or _after"), "runs")
+    runs = runs.filter("_open or _after").unionByName(runs.filter("not _open and _before").withColumn("_run", F.col("_run") - 1)).drop("_before", "_after")
     chained = (
-        blocks.join(matrices, ["_src", "_block"], "left")
-        .select("_src", "_block", "_open", "_matrix", *_flat("_first", "_first"), *_flat("_last", "_last"))
-        .repartition(spread, "_src")
-        .groupBy("_src")
-        .applyInPandas(_chain, "_src string, _block date, _begin int, _end int, _open boolean")
+        runs.join(matrices, ["_src", "_block"], "left")
+        .select("_src", "_run", "_block", "_open", "_matrix", *_flat("_first", "_first"), *_flat("_last", "_last"))
+        .repartition(spread, "_src", "_run")
+        .groupBy("_src", "_run")
+        .applyInPandas(_chain, "_src string, _block long, _begin int, _end int, _open boolean")
         .filter("_open")
         .drop("_open")
     )
