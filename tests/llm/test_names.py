@@ -66,3 +66,11 @@ def test_empty(spark):
     # without a pool all are outside organisations: the bare names then have one bearer each
     got = {tuple(x) for x in R.found_pairs(R.resolve(*frames(spark, [], RELATIONS))).distinct().collect()}
     assert got == {("r1", "r3"), ("r4", "r5"), ("r7", "r8"), ("r7", "ra"), ("r8", "ra"), ("rf", "rg")}
+
+
+def test_short_and_many_worded_stems():
+    assert N.parse("Roche").stem == "roche" and N.parse("Thermo Fisher Scientific").stem == "thermofisherscientific"
+    got = N.parse("North River Diagnostics")
+    assert (got.kind, got.stem, got.fields) == ("company", "northriver", frozenset({"diagnostics"}))
+    assert N.same_stem("roche", "roche") and not N.same_stem("roche", "roshe") and N.same_stem("northriver", "northrver")
+    assert N.slips("roche") == ["roche"]

@@ -85,13 +85,21 @@ def contracted(stem: str) -> str:
     return stem.replace("oe", "o").replace("ae", "a").replace("ue", "u")
 
 
+#: Stems shorter than this are the same only if they are equal: a slip in them makes another name.
+SLIP_LEAST = 6
+
+
 def same_stem(a: str, b: str) -> bool:
     """Whether two stems are one but for one slip, umlauts written out or not."""
+    if min(len(a), len(b)) < SLIP_LEAST:
+        return a == b
     return near(a, b) or near(contracted(a), contracted(b))
 
 
 def slips(stem: str) -> list[str]:
     """Keys of which two stems that are one but for a slip share at least one: the stem's two forms, each with one letter left out."""
+    if len(stem) < SLIP_LEAST:
+        return [stem]
     out = set()
     for x in {stem, contracted(stem)}:
         out.add(x)
@@ -163,14 +171,14 @@ def parse(name: str | None, case: str | None = None) -> Name:
                 words = words[:-1]
         if not fields:
             fields = _near_field(words[-1])
-        if fields and len(words) == 2:
-            return Name("company", stem_form(words[0]), frozenset(fields), key=key)
-        return Name("alias", key=key)
+        stem = stem_form("".join(words[:-1] if fields else words))
+        return Name("company", stem, frozenset(fields), key=key) if stem else Name("alias", key=key)
     w = s.strip(".")
     for form in _GLUED:
         if w.endswith(form) and len(w) - len(form) >= 6 and (len(form) > 3 or _glued_case(name, form)):
             return Name("company", stem_form(w[: -len(form)]), frozenset(_SHORT[form]), key=key)
-    if len(stem_form(w)) >= 6:
+    # codes with digits are no stems
+    if stem_form(w) and not any(c.isdigit() for c in w):
         return Name("company", stem_form(w), key=key)
     return Name("alias", key=key)
 
