@@ -317,9 +317,10 @@ def normalise_times(rows: DataFrame, sources: DataFrame, key: str, value: str, s
         .filter("_open")
         .drop("_open")
     )
+    # written: after the join's own shuffle on these columns the planner would drop the repartition and put all into one task
+    ends = stored(cols.join(chained, ["_src", "_block"]), "ends")
     many = (
-        cols.join(chained, ["_src", "_block"])
-        .repartition(spread, "_src", "_block")
+        ends.repartition(spread, "_src", "_block")
         .groupBy("_src", "_block")
         .applyInPandas(_solve, "_key long, _at long, _fmt string")
     )
