@@ -77,7 +77,8 @@ def orphan_cascade(tables: dict[str, DataFrame], refs: list[Reference], rounds:
     """
     targets = {r.target for r in refs}
     spark = next(iter(tables.values())).sparkSession
-    direct = {r: direct_orphans(tables[r.table], tables[r.target], r) for r in refs}
+    # written once: they are read for the first round, for the result and to tell inherited ones from them
+    direct = {r: stored(direct_orphans(tables[r.table], tables[r.target], r), "direct") for r in refs}
     inner = [r for r in refs if r.table in targets]
     empty = spark.createDataFrame([], "tbl string, key string, depth int")
     bad = empty

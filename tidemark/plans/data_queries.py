@@ -76,4 +76,33 @@ WHERE ref_id IS NOT NULL AND ref_id <> '' AND NOT EXISTS (
   SELECT 1 FROM dims d WHERE d.field = r.field AND d.id = r.ref_id AND d.added_at <= r.fetched_at
   AND (d.removed_at IS NULL OR d.removed_at > r.fetched_at))
 """
-ORACLE = {"p5_found": P5_SQL}
+
+#: The whole graph: direct orphans, then the records they spoil, level by level, and what refers to these.
+P5_CASCADE = """
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT * FROM (
+  SELECT 'candidates' AS tbl, CAST(candidate_id AS VARCHAR) AS key, 'matched_company_ids' AS field, unnest(matched_company_ids) AS ref_id, 'companies' AS target, fetched_at AS at, strftime(run_date,'%Y-%m') AS period FROM candidates
+  UNION ALL SELECT 'candidates', CAST(candidate_id AS VARCHAR), 'source_ids', unnest(source_ids), 'sources', fetched_at, strftime(run_date,'%Y-%m') FROM candidates
+  UNION ALL SELECT 'companies', id, 'parent_company_id', parent_company_id, 'companies', NULL, NULL FROM companies
+  UNION ALL SELECT 'sources', id, 'company_id', company_id, 'companies', NULL, NULL FROM sources
+  UNION ALL SELECT 'company_relationships', id, 'hub_company_id', hub_company_id, 'companies', NULL, NULL FROM company_relationships
+  UNION ALL SELECT 'incoming_candidates', CAST(candidate_id AS VARCHAR), 'source_id', source_id, 'sources', fetched_at, strftime(fetched_at,'%Y-%m') FROM incoming_candidates
+  UNION ALL SELECT 'incoming_candidates', CAST(candidate_id AS VARCHAR), 'company_id', company_id, 'companies', fetched_at, strftime(fetched_at,'%Y-%m') FROM incoming_candidates
+  UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), 'source', source, 'sources', collected_at, strftime(collected_at,'%Y-%m') FROM documents
+  UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), 'company_id', company_id, 'companies', collected_at, strftime(collected_at,'%Y-%m') FROM documents)
+  WHERE ref_id IS NOT NULL AND ref_id <> ''),
+dims AS (SELECT 'companies' AS target, id, added_at AS a, removed_at AS r FROM companies UNION ALL SELECT 'sources', id, added_at, removed_at FROM sources),
+direct AS (SELECT tbl, key, field, ref_id, min(period) AS period FROM edges e WHERE NOT EXISTS (SELECT 1 FROM dims d WHERE d.target = e.target AND d.id = e.ref_id
+  AND (d.a IS NULL OR e.at IS NULL OR d.a <= e.at) AND (d.r IS NULL OR e.at IS NULL OR d.r > e.at)) GROUP BY ALL),
+bad(tbl, key, depth) AS (SELECT DISTINCT tbl, key, 0 FROM direct WHERE tbl IN ('companies','sources')
+  UNION SELECT e.tbl, e.key, b.depth + 1 FROM bad b JOIN edges e ON e.target = b.tbl AND e.ref_id = b.key WHERE e.tbl IN ('companies','sources') AND b.depth < 60),
+worst AS (SELECT tbl, key, min(depth) AS depth FROM bad GROUP BY ALL),
+orphans AS (SELECT tbl, key, field, ref_id, period, 'direct' AS kind, 0 AS depth FROM direct
+  UNION ALL SELECT e.tbl, e.key, e.field, e.ref_id, min(e.period), 'inherited', min(w.depth) + 1 FROM edges e JOIN worst w ON w.tbl = e.target AND w.key = e.ref_id
+  WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.tbl = e.tbl AND d.key = e.key AND d.field = e.field AND d.ref_id = e.ref_id) GROUP BY ALL)
+"""
+ORACLE = {
+    "p5_found": P5_SQL,
+    "p5_orphans": P5_CASCADE + "SELECT * FROM orphans",
+    "p5_by_period": P5_CASCADE + "SELECT tbl, field, period, kind, count(*) AS n_refs, count(DISTINCT key) AS n_rows FROM orphans GROUP BY ALL",
+}
