@@ -51,3 +51,18 @@ def test_rows(spark, coders):
     assert got.count((1, coders[1].encode_ordinary("Hello  world"))) == 2
     assert (2, []) in got and (3, []) in got and (4, coders[1].encode_ordinary(" \n ")) in got
     assert bpe.encoded(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_batches_go_out_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "PIECE_IDS", 5)
+    with open(bpe.VOCABULARY, "rb") as f:
+        data = f.read()
+    shared = type("V", (), {"value": data})()
+    texts = ["one two three four five six seven", None, "", "eight", "nine ten", "eleven " * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["key", "text"])
+    got = list(bpe._encode(shared)(iter([batch])))
+    e = bpe.Encoder(data)
+    assert len(got) > 1
+    assert [(k, i) for b in got for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == [(k, e.encode(t or "")) for k, t in enumerate(texts)]

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's public pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Ids after which a piece of a batch goes out.
+PIECE_IDS = 8_000_000
 REMEMBERED = 400_000
 
 
@@ -142,16 +144,25 @@ class Encoder:
 def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(vocabulary.value)
+
+        def out(b: pa.RecordBatch, first: int, flat: array, ends: list[int]) -> pa.RecordBatch:
+            values = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(values))
+            return pa.RecordBatch.from_arrays([b.column("key").slice(first, len(ends)), ids], names=["key", "ids"])
+
         for b in batches:
-            flat, ends = array("i"), np.zeros(b.num_rows + 1, np.int64)
+            first, flat, ends = 0, array("i"), []
             for k, text in enumerate(b.column("text")):
                 text = text.as_py()
                 if text:
                     e.encode_into(text, flat)
-                ends[k + 1] = len(flat)
+                ends.append(len(flat))
                 # a batch of very long texts goes out in pieces, as list offsets have 32 bits
-            ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("key"), ids.cast(pa.list_(pa.int32()))], names=["key", "ids"])
+                if len(flat) >= PIECE_IDS:
+                    yield out(b, first, flat, ends)
+                    first, flat, ends = k + 1, array("i"), []
+            if ends:
+                yield out(b, first, flat, ends)
 
     return run
 
