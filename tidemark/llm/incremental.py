@@ -396,6 +396,13 @@ class Index:
         for n in self._names:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
 
+    def drop(self) -> None:
+        """close(), and the folder and the weights go too; nothing may read the index any more."""
+        self.close()
+        self.sketch.destroy()
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def _name(self) -> str:
         self._names.append("tidemark_" + uuid.uuid4().hex)
         return self._names[-1]
@@ -510,4 +517,9 @@ def batch_repeats(history: DataFrame, batches: DataFrame, key: str = "candidate_
     """
     old, new = (stored(prepared(rows, key, title, url), "prepared") for rows in (history, batches))
     index = Index.of(old, later=new)
-    return repeats(index, index._add(new))
+    found = stored(repeats(index, index._add(new)), "repeats")
+    # the index was made for this call alone
+    index.drop()
+    drop_stored(old)
+    drop_stored(new)
+    return found
